@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, likeness
+from . import copies, encoding, likeness, lookalike
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,5 +35,39 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return likeness.alike_within(typed(table(spark, sf, "training_data")), "row_id", F.col("text")).select("id_a", "id_b")
 
 
+def _texts(spark: SparkSession, sf: str, *sources: tuple[str, str, str]) -> DataFrame:
+    """(tbl, record_id, text) of the given (table, id column, text column)s."""
+    parts = [
+        table(spark, sf, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("record_id"), F.col(text).alias("text"))
+        for name, key, text in sources
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def p4_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Garbled records with their restored text, null where nothing can be restored."""
+    texts = _texts(spark, sf, ("training_data", "row_id", "input_text"), ("log_items", "log_id", "input_text"), ("request_items", "id", "content"))
+    return encoding.repaired(texts, "text").select("tbl", "record_id", "restored", "pair").distinct()
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_repaired(spark, sf).select("tbl", "record_id").distinct()
+
+
+def p6_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that weren't in the consistent form, with that form."""
+    texts = _texts(spark, sf, ("training_data", "row_id", "input_text"), ("request_items", "id", "content"), ("evaluation_data", "eval_id", "error_sentence"))
+    # both tables are fixed reference lists of a few hundred rows
+    samples = [r[0] for r in table(spark, sf, "lang_samples").where("lang = 'vi'").select("sample_text").union(table(spark, sf, "common_words").where("lang = 'vi'").select("word")).collect()]
+    return lookalike.consistent(texts, "text", samples).select("tbl", "record_id", "plain_text").distinct()
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_plain(spark, sf).select("tbl", "record_id").distinct()
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
