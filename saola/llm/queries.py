@@ -7,12 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, encoding, likeness, lookalike
+from . import copies, encoding, likeness, lookalike, quality, samples
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Clean sentences that the labelled documents of the quality rules are made from.
+FIT_SENTENCES = 1_500
+
+
+def _common(spark: SparkSession, sf: str) -> tuple[list[str], list[str]]:
+    """Accent-folded common and function words of Vietnamese, from the fixed list of frequent words."""
+    rows = table(spark, sf, "common_words").where("lang = 'vi'").select(quality.folded(F.col("word")).alias("w"), "freq_rank").collect()
+    return [r["w"] for r in rows], [r["w"] for r in rows if r["freq_rank"] <= quality.FUNCTION_RANK]
+
+
+def _rules(spark: SparkSession, sf: str) -> list[quality.Rule]:
+    clean = table(spark, sf, "evaluation_data").where("correction_target IS NOT NULL").orderBy("eval_id").limit(FIT_SENTENCES).select("correction_target")
+    sentences = [r[0] for r in clean.collect()]
+    rows = spark.createDataFrame(samples.labelled(sentences), "text string, label string").repartition(8)
+    return quality.fit(rows, *_common(spark, sf))
+
+
+def p1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality figures and kind of every text."""
+    texts = _texts(spark, sf, ("training_data", "row_id", "input_text"), ("log_items", "log_id", "input_text"))
+    sql = quality.case_sql(_rules(spark, sf), "prose")
+    return quality.quality(texts, "text", *_common(spark, sf)).withColumn("kind", F.expr(sql)).drop("text")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_quality(spark, sf).where("kind IN ('list', 'table', 'junk')").select("tbl", "record_id").distinct()
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     train = table(spark, sf, "training_data").select(F.lit("training_data").alias("tbl"), F.col("row_id").alias("id"), F.col("input_text").alias("text"))
     logs = table(spark, sf, "log_items").select(F.lit("log_items").alias("tbl"), F.col("log_id").alias("id"), F.col("input_text").alias("text"))
