@@ -77,5 +77,8 @@ def parity(tokens: str, half: int) -> Column:
 
 
 def numbered(tokens: str) -> Column:
-    """Token hashes made distinct by the ordinal of each repeat, so a bag becomes a set."""
-    return F.expr(f"transform(sort_array({tokens}), (x, i) -> xxhash64(x, i - array_position(sort_array({tokens}), x)))")
+    """Token hashes made distinct by the ordinal of each repeat, so a bag becomes a set. The outer
+    one-element array binds the sorted tokens to a variable, so they are sorted once for a row."""
+    return F.expr(
+        f"element_at(transform(array(sort_array({tokens})), s -> transform(s, (x, i) -> xxhash64(x, i - array_position(s, x)))), 1)"
+    )
