@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import copies, encoding, likeness, lookalike, quality, samples
+from . import copies, encoding, language, leaks, likeness, lookalike, mixture, quality, samples
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,5 +97,45 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_plain(spark, sf).select("tbl", "record_id").distinct()
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout_items"), "item_id", "passage").select("doc_id", "item_id").distinct()
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, list[mixture.Share]]:
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf, "source_targets").orderBy("source").collect()]
+    return mixture.mixture(table(spark, sf, "documents"), "doc_id", "text", "source", targets)
+
+
+def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.reached(*_mix(spark, sf))
+
+
+def _samples(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
+    """Labelled samples of the languages: two fixed tables of a few hundred rows."""
+    rows = table(spark, sf, "lang_samples").select("lang", "sample_text").union(table(spark, sf, "common_words").select("lang", "word"))
+    return [(r[0], r[1]) for r in rows.collect()]
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every segment of every document with its language and confidence."""
+    return language.segments(table(spark, sf, "documents"), "doc_id", "text", _samples(spark, sf))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    per = language.documents(docs, "doc_id", "text", _samples(spark, sf)).withColumn("k", F.count("*").over(Window.partitionBy("doc_id")))
+    main = per.withColumn("main_lang", F.max(F.when(F.col("main"), F.col("lang"))).over(Window.partitionBy("doc_id")))
+    labels = docs.select("doc_id", language.label_code(F.col("lang")).alias("code"))
+    return (
+        main.join(labels, "doc_id")
+        .where(F.col("code").isNull() | (F.col("code") != F.col("main_lang")) | (F.col("k") > 1))
+        .where(F.col("share") >= language.SHARE).select("doc_id", "lang").distinct()
+    )
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
