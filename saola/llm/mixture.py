@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Draws are summed in so many bins per source; the threshold is exact to one bin.
@@ -51,11 +53,13 @@ class Share:
 
 
 def fill(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | None = None) -> list[Share]:
-    """Repeats of each source. targets: (source, share, cap). total: tokens of the mixture, by default all
-    tokens of the sources; never more than the caps allow."""
+    """Repeats of each source. targets: (source, share, cap). total: tokens of the mixture, by default the
+    most for which every share can be met; never more than the caps allow."""
     live = {s: (w, c) for s, w, c in targets if tokens.get(s, 0) > 0 and w > 0}
     most = sum(c * tokens[s] for s, (_, c) in live.items())
-    size = min(float(total if total is not None else sum(tokens[s] for s in live)), float(most))
+    weights = sum(w for w, _ in live.values())
+    met = min((c * tokens[s] * weights / w for s, (w, c) in live.items()), default=0.0)
+    size = min(float(total if total is not None else met), float(most))
     amount: dict[str, float] = {}
     while live:
         weight = sum(w for w, _ in live.values())
@@ -76,10 +80,10 @@ def draw(seed: int, key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(BINS))
 
 
-def mixture(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets: list[tuple[str, float, int]], seed: int = 42, total: float | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[Share]]:
-    """(id, source, tokens, copy) of the mixture, and the plan. targets is a list of bounded size."""
-    from .common import stage
+def mixture(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets: list[tuple[str, float, int]], seed: int = 42, total: float | str | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[Share]]:
+    """(id, source, tokens, copy) of the mixture, and the plan. targets is a list of bounded size.
 
+    total: tokens of the mixture (see fill), or "all" for as many as the sources hold."""
     names = [t[0] for t in targets]
     sized = stage(
         token_counts(docs.where(F.col(source_col).isin(names)), text_col, tokenizer)
@@ -90,7 +94,8 @@ def mixture(docs: DataFrame, id_col: str, text_col: str, source_col: str, target
     sums: dict[str, list[int]] = {s: [0] * BINS for s in names}
     for r in sized.groupBy("source", "bin").agg(F.sum("tokens").alias("n")).collect():
         sums[r["source"]][r["bin"]] = r["n"]
-    plan = fill(targets, {s: sum(b) for s, b in sums.items()}, total)
+    tokens = {s: sum(b) for s, b in sums.items()}
+    plan = fill(targets, tokens, sum(tokens.values()) if total == "all" else total)
     copies = F.lit(0)
     for p in plan:
         whole, part = int(p.repeats + 1e-12), (p.repeats - int(p.repeats + 1e-12)) * p.tokens

@@ -101,9 +101,9 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout_items"), "item_id", "passage").select("doc_id", "item_id").distinct()
 
 
-def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, list[mixture.Share]]:
+def _mix(spark: SparkSession, sf: str, total: str | None = None) -> tuple[DataFrame, list[mixture.Share]]:
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf, "source_targets").orderBy("source").collect()]
-    return mixture.mixture(table(spark, sf, "documents"), "doc_id", "text", "source", targets)
+    return mixture.mixture(table(spark, sf, "documents"), "doc_id", "text", "source", targets, total=total)
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,6 +114,11 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.reached(*_mix(spark, sf))
 
 
+def p8_full_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of a mixture as large as the corpus: small sources reach their caps, the others make up for them."""
+    return mixture.reached(*_mix(spark, sf, "all"))
+
+
 def _samples(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
     """Labelled samples of the languages: two fixed tables of a few hundred rows."""
     rows = table(spark, sf, "lang_samples").select("lang", "sample_text").union(table(spark, sf, "common_words").select("lang", "word"))
