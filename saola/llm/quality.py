@@ -78,7 +78,9 @@ def quality(df: DataFrame, text_col: str, common: list[str], function: list[str]
         "bullet_share": ratio("_bul", "_l"), "delimiters_per_word": ratio("_del", "_tokens"), "commas_per_word": ratio("_com2", "_n"), "field_share": ratio("_fields", "_parts"), "mixed_per_word": ratio("_mix", "_tokens"),
         "common_share": ratio("_com", "_n"), "function_share": ratio("_fun", "_n"), "syllable_share": ratio("_syl", "_n"), "distinct_share": ratio("_dis", "_n"),
     }
-    return step.select(*keep, *[F.when(F.col(text_col).isNotNull(), c.cast("double")).alias(k) for k, c in out.items()])
+    figures = F.struct(*[F.when(F.col(text_col).isNotNull(), c.cast("double")).alias(k) for k, c in out.items()])
+    # the one-row explode keeps the optimizer from copying the figures into every later test of them
+    return step.select(*keep, F.explode(F.array(figures)).alias("_f")).select(*keep, *[F.col("_f")[k].alias(k) for k in FEATURES])
 
 
 @dataclass(frozen=True)
