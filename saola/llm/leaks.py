@@ -16,33 +16,43 @@ never held.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import windows
+from ..operators.vocabulary import common_length
 from .encoding import letters
 
 #: Words in a row that make a leak, words of a shingle, shingles that a window must share, words compared
 #: beyond a hit, share of held words that must be right, likeness of a misspelt stretch.
 LEAST, SHINGLE, OVERLAP, MARGIN, RIGHT, MISSPELT = 20, 5, 3, 12, 0.7, 0.6
+#: Words that must agree within LEAST words on either side of a hit before the texts are aligned.
+HINT = 9
 #: Item shingles (16 bytes each) that go to the workers at once.
 BLOCK = 500_000
 
 
-def bare_words(text: Column) -> Column:
-    """Lower-case words without accents, whatever their encoding."""
-    import unicodedata
-
+def bare_text(text: Column) -> Column:
+    """Lower-case words without accents, whatever their encoding, with single spaces."""
     source = "".join(c for c in letters() if c.islower())
     flat = "".join("d" if c == "đ" else unicodedata.normalize("NFD", c)[0] for c in source)
     low = F.translate(F.regexp_replace(F.lower(text), r"[\p{M}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]+", ""), source, flat)
-    return F.split(F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " ")), " ")
+    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the SHINGLE words from each position of an array of word hashes."""
+    n = max(0, len(words) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n].view(np.uint64)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def prefix_shingles(items: list[tuple[int, list[str], list[int]]]) -> dict[int, list[tuple[int, int]]]:
@@ -58,38 +68,64 @@ def prefix_shingles(items: list[tuple[int, list[str], list[int]]]) -> dict[int,
     return {h: sorted(v) for h, v in table.items()}
 
 
-def longest_held(doc: list[str], passage: list[str]) -> int:
-    """Most passage words in a row that stand in doc, at least RIGHT of them exactly."""
-    runs: list[list[int]] = [[]]
-    pa_, pb = 0, 0
-    for m in SequenceMatcher(None, passage, doc, autojunk=False).get_matching_blocks():
-        ga, gb = passage[pa_ : m.a], doc[pb : m.b]
-        if ga or gb:
-            a, b = "".join(ga), "".join(gb)
-            like = bool(runs[-1]) and len(ga) <= 4 and len(gb) <= 5 and abs(len(a) - len(b)) <= 4 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= MISSPELT
-            if like:
-                runs[-1] += [0] * len(ga)
-            elif runs[-1]:
-                runs.append([])
-        runs[-1] += [1] * m.size
-        pa_, pb = m.a + m.size, m.b + m.size
-    best = 0
-    for run in runs:
-        while run and not run[-1]:
-            run.pop()
-        if len(run) >= LEAST and sum(run) >= RIGHT * len(run):
-            best = max(best, len(run))
+def _extend(passage: list[str], doc: list[str], i: int, j: int, step: int) -> tuple[int, int, int]:
+    """(held words, exact words, doc words) of the walk from passage[i], doc[j] in one direction. Where the words
+    differ, the walk goes on behind up to three words on either side if what lies between is a misspelling."""
+    held = exact = 0
+    n, m = len(passage), len(doc)
+    start = j
+
+    def word(ws: list[str], k: int) -> str | None:
+        return ws[k] if 0 <= k < len(ws) else None
+
+    while 0 <= i < n and 0 <= j < m:
+        if passage[i] == doc[j]:
+            held, exact, i, j = held + 1, exact + 1, i + step, j + step
+            continue
+        for a, b in _GAPS:
+            w = word(passage, i + a * step)
+            if w is None or w != word(doc, j + b * step):
+                continue
+            after = word(passage, i + (a + 1) * step)
+            if after is not None and after != word(doc, j + (b + 1) * step) and len(w) < 4:
+                continue
+            x, y = "".join(passage[min(i, i + (a - 1) * step) :][:a]) if a else "", "".join(doc[min(j, j + (b - 1) * step) :][:b]) if b else ""
+            if 2 * common_length(x, y) >= MISSPELT * (len(x) + len(y)):
+                held, i, j = held + a, i + a * step, j + b * step
+                break
+        else:
+            break
+    return held, exact, abs(j - start)
+
+
+#: Passage and document words between two agreeing words, fewest first.
+_GAPS = sorted(((a, b) for a in range(4) for b in range(4) if a and b), key=lambda g: (g[0] + g[1], abs(g[0] - g[1])))
+
+
+def longest_held(doc: list[str], passage: list[str], spots: list[tuple[int, int]]) -> int:
+    """Most passage words in a row that stand in doc, at least RIGHT of them exactly. spots: (doc, passage) positions
+    of shared shingles; those inside a run that is known aren't walked again."""
+    best, done = 0, []
+    for p, q in sorted(spots):
+        if any(a <= p < b and abs(p - q - s) <= MARGIN for a, b, s in done):
+            continue
+        right, back = _extend(passage, doc, q, p, 1), _extend(passage, doc, q - 1, p - 1, -1)
+        held, exact = right[0] + back[0], right[1] + back[1]
+        done.append((p - back[2], p + right[2], p - q))
+        if held >= LEAST and exact >= RIGHT * held:
+            best = max(best, held)
     return best
 
 
 def leaked(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, passage_col: str) -> DataFrame:
     """(doc_id, item_id, words): documents with the items they hold and the longest held run of words."""
+    hashes = F.transform(F.split("w", " "), lambda w: F.xxhash64(w)).alias("h")
     got = (
-        items.select(F.col(item_id).alias("i"), F.col(passage_col).alias("passage")).where("passage IS NOT NULL").distinct()
-        .select("i", bare_words(F.col("passage")).alias("w")).select("i", "w", windows("w", SHINGLE).alias("h")).collect()
+        items.select(F.col(item_id).alias("i"), bare_text(F.col(passage_col)).alias("w")).where("w IS NOT NULL").distinct()
+        .select("i", "w", hashes).collect()
     )
-    all_items = [(r["i"], r["w"], r["h"]) for r in got if len(r["w"]) >= LEAST]
-    prepared = docs.select(F.col(doc_id).alias("d"), bare_words(F.col(text_col)).alias("w")).where(F.size("w") >= LEAST - 4).select("d", "w", windows("w", SHINGLE).alias("h"))
+    all_items = [(r["i"], r["w"].split(" "), np.array(r["h"], np.int64)) for r in got if len(r["h"]) >= LEAST]
+    prepared = docs.select(F.col(doc_id).alias("d"), bare_text(F.col(text_col)).alias("w")).where("w <> ''").select("d", "w", hashes)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"{doc_id} {kinds[0]}, {item_id} {kinds[1]}, words int"
     blocks: list[list] = [[]]
@@ -104,53 +140,63 @@ def leaked(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_i
     return out
 
 
-def _finder(items: list[tuple[int, list[str], list[int]]]):
-    table = prefix_shingles(items)
-    keys = np.array(sorted(table), np.int64)
+def _finder(items: list[tuple[object, list[str], np.ndarray]]):
+    table = prefix_shingles([(n, w, shingles(h).tolist()) for n, w, h in items])
+    keys = np.array(sorted(table), np.uint64)
+    counts = np.array([len(table[int(k)]) for k in keys], np.int64)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    spots = np.array([x for k in keys for x in table[int(k)]], np.int64).reshape(-1, 2)
     names, passages = [x[0] for x in items], [x[1] for x in items]
+    # all passages in one array, apart by a gap that equals no word
+    gap = np.arange(2 * LEAST + 4, dtype=np.int64)
+    base, parts, at = [], [gap], len(gap)
+    for _, _, h in items:
+        base.append(at)
+        parts += [h, gap]
+        at += len(h) + len(gap)
+    flat_items, base = np.concatenate(parts), np.array(base, np.int64)
+
+    def near(doc: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Words that agree around each hit, on its diagonal or one beside it."""
+        total = np.zeros(len(p), np.int32)
+        for t in range(1 - LEAST, LEAST):
+            mine = flat_items[q + t]
+            same = np.zeros(len(p), bool)
+            for e in (-1, 0, 1):
+                same |= doc[np.clip(p + t + e, 0, len(doc) - 1)] == mine
+            total += same
+        return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, lists = batch.column(0), batch.column(1), batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy())
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
             found: tuple[list, list, list] = ([], [], [])
-            if len(flat) and len(keys):
-                at = np.searchsorted(keys, flat)
-                hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == flat)
-                row = np.repeat(np.arange(len(sizes)), sizes)[hit]
-                start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                by_row: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                for r, p, h in zip(row.tolist(), (hit - start[row]).tolist(), flat[hit].tolist()):
-                    by_row[r].append((p, h))
-                for r, hits in by_row.items():
-                    spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                    for p, h in hits:
-                        for k, q in table[h]:
-                            spots[k].append((p, q))
-                    words: list[str] | None = None
-                    for k, ps in spots.items():
-                        if words is None:
-                            words = texts[r].as_py()
-                        if n := _held(words, passages[k], ps):
-                            found[0].append(ids[r].as_py())
-                            found[1].append(names[k])
-                            found[2].append(n)
+            if len(flat) >= SHINGLE and len(keys):
+                got = shingles(flat)
+                where = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
+                hit = np.flatnonzero(keys[where] == got)
+                k = where[hit]
+                many = counts[k]
+                p = np.repeat(hit, many)
+                s = np.repeat(starts[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(hit) else np.zeros(0, np.int64)
+                item, q = spots[s, 0], spots[s, 1]
+                good = near(flat, p, base[item] + q) >= HINT
+                p, item, q = p[good], item[good], q[good]
+                row = np.searchsorted(first, p, side="right") - 1
+                todo: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                for r, i, a, b in zip(row.tolist(), item.tolist(), (p - first[row]).tolist(), q.tolist()):
+                    todo[r, i].append((a, b))
+                words: dict[int, list[str]] = {}
+                for (r, i), hits in todo.items():
+                    if r not in words:
+                        words = {r: texts[r].as_py().split(" ")}
+                    if n := longest_held(words[r], passages[i], hits):
+                        found[0].append(ids[r].as_py())
+                        found[1].append(names[i])
+                        found[2].append(n)
             yield pa.RecordBatch.from_arrays([pa.array(found[0], batch.schema.field(0).type), pa.array(found[1]), pa.array(found[2], pa.int32())], ["d", "i", "n"])
 
     return run
-
-
-def _held(doc: list[str], passage: list[str], spots: list[tuple[int, int]]) -> int:
-    """Longest held run around the hits; hits of one alignment are compared once."""
-    best, done = 0, []
-    for p, q in sorted(spots):
-        if any(a <= p < b and abs((p - q) - s) <= MARGIN for a, b, s in done):
-            continue
-        lo, hi = max(0, p - q - MARGIN), min(len(doc), p - q + len(passage) + MARGIN)
-        done.append((lo, hi, p - q))
-        # cheap bound: a window around the hit must have most of its words in place, give or take a few
-        near = sum(passage[j] in doc[max(0, p + j - q - 2) : p + j - q + 3] for j in range(max(0, q - LEAST), min(len(passage), q + LEAST)))
-        if near >= RIGHT * LEAST:
-            best = max(best, longest_held(doc[lo:hi], passage))
-    return best
