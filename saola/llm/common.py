@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_dir, stage
+
+__all__ = ["HOT_KEYS", "HOT_ROWS", "SALTS", "numbered", "parity", "scratch_dir", "segments", "stage", "table", "windows", "word_hashes", "words"]
+
 #: Groups of more rows than this are looked up through a broadcast of the largest groups.
 HOT_ROWS = 5_000
 #: A broadcast of hot groups never holds more keys than this, whatever the size of the data.
@@ -16,23 +17,6 @@ HOT_KEYS = 1_024
 SALTS = 64
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one of our own only where none is set."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="saola-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
