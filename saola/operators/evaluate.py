@@ -5,18 +5,19 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import sequential
 from .normalize import clean_detection
 
 
-@F.pandas_udf("struct<actual: int, predicted: int, matched: int>")
+@F.pandas_udf(T.StructType([T.StructField(k, T.IntegerType()) for k in ("actual", "predicted", "matched")]))
 def count_errors(target: pd.Series, predicted: pd.Series) -> pd.DataFrame:
     """Tagged spans of target and prediction and their matches (see sequential.true_errors)."""
     return pd.DataFrame([sequential.true_errors(t, p) for t, p in zip(target, predicted)], columns=["actual", "predicted", "matched"])
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def count_corrections(correct: pd.Series, predicted: pd.Series, detected: pd.Series) -> pd.Series:
     """Right corrected words (see sequential.true_corrections)."""
     return pd.Series([sequential.true_corrections(c, p, d) for c, p, d in zip(correct, predicted, detected)], dtype="int32")

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from .filters import FORMULA, ROMAN, SPACE, strip
@@ -43,7 +44,7 @@ def plain_quotes(text: Column) -> Column:
     return F.translate(text, "“–”", '"-"')
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC; the JVM functions have no normaliser."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as K
 from . import sequential
@@ -12,7 +13,7 @@ from .filters import strip
 from .normalize import clean_detection, mapping, pieces, single_spaces
 
 EDIT = "array<struct<org_word: string, corrected: string, org_word_position: int>>"
-SPAN = "array<struct<origin: string, corrected: string, start: int, end: int>>"
+SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("origin", T.StringType()), T.StructField("corrected", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
 def _bind(value: Column, f) -> Column:
@@ -161,13 +162,13 @@ def error_rate(origin: Column, tagged: Column) -> Column:
     return (F.length(tagged) - F.length(F.replace(tagged, F.lit(K.ERROR), F.lit("")))) / len(K.ERROR) / F.size(F.split(origin, " "))
 
 
-@F.pandas_udf(SPAN)
+@F.pandas_udf(SPAN_TYPE)
 def arrange(corrected: pd.Series, tagged: pd.Series) -> pd.Series:
     """Corrected words arranged to the tagged spans (see sequential.arrange)."""
     return pd.Series([sequential.arrange(c, t) for c, t in zip(corrected, tagged)], dtype="object")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def tag_expansions(origin: pd.Series, detected: pd.Series) -> pd.Series:
     """Expansions of abbreviations tagged back (see sequential.tag_expansions)."""
     return pd.Series([sequential.tag_expansions(o, d) for o, d in zip(origin, detected)], dtype="object")
