@@ -53,15 +53,15 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_evaluation(spark: SparkSession, directory: str) -> DataFrame:
-    """All CSV files under directory/<error type>/, with error_type and the error percentage that ends the file
-    name (two digits), and the columns under their established names."""
+    """All CSV files under directory/<error type>/, with error_type, the error percentage (the two digits nine
+    places before the end of the file name, null for others) and the columns under their established names."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{directory}/*/*.csv")
     path = F.col("_metadata.file_path")
     names = {"augmented": "error_sentence", "label": "detection_target", "original": "correction_target"}
     return df.select(
         *[F.col(k).alias(v) for k, v in names.items()],
         F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("error_type"),
-        F.regexp_extract(path, r"(\d{2})[^/\d]*\.csv$", 1).cast("int").alias("error_pct"),
+        F.substring(path, -9, 2).try_cast("int").alias("error_pct"),
     )
 
 
