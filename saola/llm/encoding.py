@@ -23,6 +23,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TONES = "̣̀́̃̉"
 BASES = "aăâeêioôơuưy"
@@ -227,10 +228,9 @@ def repaired(df: DataFrame, text_col: str) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             got = [repair(t) for t in part[text_col]]
-            part["restored"], part["pair"] = [g[1] for g in got], [g[2] for g in got]
+            part["restored"] = pd.Series([g[1] for g in got], index=part.index, dtype="object")
+            part["pair"] = pd.Series([g[2] for g in got], index=part.index, dtype="object")
             yield part[[g[0] for g in got]]
 
-    from pyspark.sql import types as T
-
     out = T.StructType([*schema.fields, T.StructField("restored", T.StringType()), T.StructField("pair", T.StringType())])
     return df.where(suspicious(F.col(text_col))).mapInPandas(run, out)

@@ -195,7 +195,7 @@ def segments(df: DataFrame, id_col: str, text_col: str, texts: list[tuple[str, s
             g = frame.groupby(new, sort=False).agg(id=("id", "first"), start=("start", "first"), end=("end", "last"), words=("words", "sum"), k=("k", "first"), sure=("sure", "sum"))
             yield pd.DataFrame({
                 id_col: g["id"], "start": g["start"], "end": g["end"], "words": g["words"],
-                "lang": [p.langs[k] for k in g["k"]], "confidence": g["sure"] / g["words"],
+                "lang": pd.Series([p.langs[k] for k in g["k"]], index=g.index, dtype="object"), "confidence": g["sure"] / g["words"],
             })
 
     return df.select(id_col, text_col).mapInPandas(run, schema)

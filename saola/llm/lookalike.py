@@ -40,6 +40,8 @@ CAPITALS = {
 }
 #: Letters that may be read in more than one way.
 ALSO = {"υ": "uv", "ν": "vn", "η": "nh", "п": "n", "ӏ": "li", "ι": "il", "у": "yu", "н": "hn", "в": "bv", "т": "tm", "и": "u", "γ": "yv"}
+#: Log score that a reading other than the nearest shape must make up for.
+RARER = 3.0
 IGNORABLE = {0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x3164, 0xFEFF, 0xFFA0}
 
 
@@ -129,7 +131,8 @@ def word_path(word: str, model: dict) -> str:
             continue
         options = readings(c) if foreign(c) else c
         states = {
-            o: max(((s + _score(model, k, o), t + o) for k, (s, t) in states.items()), key=lambda x: x[0]) for o in options
+            o: max(((s + _score(model, k, o) - RARER * (i > 0), t + o) for k, (s, t) in states.items()), key=lambda x: x[0])
+            for i, o in enumerate(options)
         }
     end = max(((s + _score(model, k, "$"), t) for k, (s, t) in states.items()), key=lambda x: x[0])
     return unicodedata.normalize("NFC", end[1])
@@ -187,16 +190,9 @@ def consistent(df: DataFrame, text_col: str, samples: list[str]) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            keep, forms = [], []
-            for t in part[text_col]:
-                changed, form = plain(t, model)
-                changed = changed and not repair(t)[0]
-                keep.append(changed)
-                if changed:
-                    forms.append(form)
-            part = part[keep].copy()
-            part["plain_text"] = forms
-            yield part
+            forms = [form if changed and not repair(t)[0] else None for t in part[text_col] for changed, form in [plain(t, model)]]
+            part["plain_text"] = pd.Series(forms, index=part.index, dtype="object")
+            yield part[[f is not None for f in forms]]
 
     out = T.StructType([*df.schema.fields, T.StructField("plain_text", T.StringType())])
     return df.where(suspicious(F.col(text_col))).mapInPandas(run, out)

@@ -30,15 +30,19 @@ def _rules(spark: SparkSession, sf: str) -> list[quality.Rule]:
     return quality.fit(rows, *_common(spark, sf))
 
 
-def p1_quality(spark: SparkSession, sf: str) -> DataFrame:
-    """Quality figures and kind of every text."""
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
     texts = _texts(spark, sf, ("training_data", "row_id", "input_text"), ("log_items", "log_id", "input_text"))
     sql = quality.case_sql(_rules(spark, sf), "prose")
     return quality.quality(texts, "text", *_common(spark, sf)).withColumn("kind", F.expr(sql)).drop("text")
 
 
+def p1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality figures and kind of every text, each id once."""
+    return _judged(spark, sf).dropDuplicates(["tbl", "record_id"])
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p1_quality(spark, sf).where("kind IN ('list', 'table', 'junk')").select("tbl", "record_id").distinct()
+    return _judged(spark, sf).where("kind IN ('list', 'table', 'junk')").select("tbl", "record_id").distinct()
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
