@@ -11,6 +11,7 @@ from ..functions import constants as K
 from . import sequential
 from .filters import strip
 from .normalize import clean_detection, mapping, pieces, single_spaces
+from .telex import dashed_text
 
 EDIT = "array<struct<org_word: string, corrected: string, org_word_position: int>>"
 SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("origin", T.StringType()), T.StructField("corrected", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -44,16 +45,17 @@ def matching_rate(wrong: Column, right: Column) -> Column:
 
 def gated(detected: Column, corrected: Column, least: float = 0.5) -> Column:
     """Corrections that resemble what they replace: per word where the numbers of words agree, else none."""
-    from .telex import dashed
-
-    key = lambda w: F.replace(dashed(w), F.lit("-"), F.lit(""))
+    key = lambda t: F.split(F.replace(dashed_text(t), F.lit("-"), F.lit("")), " ")
 
     def of(p: Column) -> Column:
-        chosen = F.zip_with(p["d"], p["c"], lambda d, c: F.when(matching_rate(key(d), key(c)) >= least, c).otherwise(d))
+        chosen = F.transform(p["d"], lambda d, i: F.when(matching_rate(F.get(p["kd"], i), F.get(p["kc"], i)) >= least, F.get(p["c"], i)).otherwise(d))
         return F.array_join(F.when(F.size(p["d"]) == F.size(p["c"]), chosen).otherwise(p["d"]), " ")
 
-    left = pieces(F.regexp_replace(clean_detection(detected), "</?error>", ""))
-    return _bind(F.struct(left.alias("d"), pieces(clean_detection(corrected)).alias("c")), of)
+    left, right = pieces(F.regexp_replace(clean_detection(detected), "</?error>", "")), pieces(clean_detection(corrected))
+    texts = F.struct(left.alias("d"), right.alias("c"))
+    # keyboard forms hold no space, so the words of a sentence keep their places
+    keyed = _bind(texts, lambda p: F.struct(p["d"].alias("d"), p["c"].alias("c"), key(F.array_join(p["d"], " ")).alias("kd"), key(F.array_join(p["c"], " ")).alias("kc")))
+    return _bind(keyed, of)
 
 
 def acronym_edits(words: Column) -> Column:

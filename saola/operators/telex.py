@@ -19,6 +19,12 @@ def dashed(word: Column) -> Column:
     return F.array_join(F.transform(F.split(word, ""), lambda c: F.coalesce(table[c], c)), "")
 
 
+def dashed_text(text: Column) -> Column:
+    """dashed for a whole sentence: one native replacement per letter of the table, whose results hold no letter of
+    the table themselves."""
+    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), K.TELEX.items(), text)
+
+
 def paired(word: Column) -> Column:
     """Only the letter pair ươ in keyboard form."""
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), K.TELEX_PAIRS.items(), word)

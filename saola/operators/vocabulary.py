@@ -86,12 +86,32 @@ def _budget(length: Column, least: float) -> Column:
     return F.least(F.floor((1 - least) * 2 / least * length + 1e-9), F.lit(3)).cast("int")
 
 
+def letter_parity(text: Column) -> Column:
+    """A bit for each ASCII letter and sign that occurs an odd number of times (others share the rest): an indel
+    flips one bit, so the bits in which two strings differ are a lower bound of their indel distance."""
+    return F.aggregate(
+        F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("bigint"),
+        lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(61)))),
+    )
+
+
 def similar_words(wrong: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
     """(a, b, score): words a of wrong(a) and b of right(b) with a likeness of at least `least`, joined on shared
     deletions. Complete for words of up to 13 letters at 0.87; no pair of all words is formed."""
     ka = wrong.select("a").distinct().withColumn("key", F.explode(deletions(F.col("a"), _budget(F.length("a"), least))))
     kb = right.select("b").distinct().withColumn("key", F.explode(deletions(F.col("b"), _budget(F.length("b"), least))))
-    return ka.join(kb, "key").select("a", "b").distinct().withColumn("score", likeness("a", "b")).where(F.col("score") >= least)
+    fits = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (1 - least) * (F.length("a") + F.length("b")) + 1e-9
+    ka, kb = ka.withColumn("pa", letter_parity(F.col("a"))), kb.withColumn("pb", letter_parity(F.col("b")))
+    return ka.join(kb, "key").where(fits).select("a", "b").distinct().withColumn("score", likeness("a", "b")).where(F.col("score") >= least)
+
+
+def neighbours(wrong: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): equal words of wrong(a) and right(b), and those that are one inserted or deleted letter apart."""
+    one = F.lit(1)
+    ka = wrong.select("a").distinct().withColumn("key", F.explode(deletions(F.col("a"), one)))
+    kb = right.select("b").distinct().withColumn("key", F.explode(deletions(F.col("b"), one)))
+    # a shared deletion of both would be a replaced letter, two indels
+    return ka.join(kb, "key").where((F.col("key") == F.col("a")) | (F.col("key") == F.col("b"))).select("a", "b").distinct()
 
 
 def word_groups(tagged: Column) -> Column:
@@ -123,8 +143,8 @@ def group_candidates(groups: DataFrame, bigrams: DataFrame, least: float = LEAST
     """Best dictionary pair of each distinct group: (left_word, right_word, side, left_new, right_new, score).
 
     One correct side: the pair must hold the correct word, the other word is scored by keyboard form. Both sides
-    wrong: the pairs joined by a sign are scored; of the few indels that the score allows, one of the two words has
-    at most half, so pairs meet on shared deletions of either word."""
+    wrong: the pairs joined by a sign are scored; a score of 0.87 allows three indels to pairs of up to 13 letters, so
+    one of the two words is at most one indel off, and pairs meet on it."""
     g = groups.distinct().select("left_word", "right_word", "side", encode(F.col("left_word")).alias("lt"), encode(F.col("right_word")).alias("rt"))
     d = bigrams.where("ord = 1").select(F.col("left_word").alias("left_new"), F.col("right_word").alias("right_new"), "left_telex", "right_telex", F.col("n").alias("freq"))
     wrong = g.where("side = 'right'").select(F.col("lt").alias("a")).union(g.where("side = 'left'").select(F.col("rt").alias("a")))
@@ -138,17 +158,17 @@ def group_candidates(groups: DataFrame, bigrams: DataFrame, least: float = LEAST
         .join(d.withColumn("left_word", F.col("left_new")), ["right_telex", "left_word"])
     )
     pair, want = F.concat_ws("_", "lt", "rt"), F.concat_ws("_", "left_telex", "right_telex")
-    half = lambda x: F.floor(_budget(F.length(x), least) / 2).cast("int")
-
-    def keys(one: str, two: str, whole: Column) -> Column:
-        tag = lambda t, c: F.transform(deletions(F.col(c), half(whole)), lambda k: F.concat(F.lit(t), k))
-        return F.explode(F.array_union(tag("l", one), tag("r", two)))
-
-    both = g.where("side = 'none'").withColumn("key", keys("lt", "rt", pair))
-    d2 = d.withColumn("key", keys("left_telex", "right_telex", want))
-    longer = F.greatest(F.length(pair), F.length(want))
-    fits = F.least(F.length(pair), F.length(want)) >= least / (2 - least) * longer
-    none = both.join(d2, "key").where(fits).drop("key").distinct().withColumn("score", likeness(pair, want))
+    both = g.where("side = 'none'").withColumn("bits", letter_parity(pair))
+    d2 = d.withColumn("bits2", letter_parity(want))
+    one_off = neighbours(both.select(F.col("lt").alias("a")).union(both.select(F.col("rt").alias("a"))), d.select(F.col("left_telex").alias("b")).union(d.select(F.col("right_telex").alias("b"))))
+    # exact bounds on lengths and letters before any string is compared
+    indels = (1 - least) * (F.length(pair) + F.length(want)) + 1e-9
+    fits = (F.abs(F.length(pair) - F.length(want)) <= indels) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= indels)
+    by = [
+        both.join(one_off.withColumnRenamed("a", mine).withColumnRenamed("b", theirs), mine).join(d2, theirs).where(fits).select(*both.columns, *d2.columns)
+        for mine, theirs in (("lt", "left_telex"), ("rt", "right_telex"))
+    ]
+    none = by[0].union(by[1]).drop("bits", "bits2").distinct().withColumn("score", likeness(pair, want))
     cols = ["left_word", "right_word", "side", "left_new", "right_new", "freq", "score"]
     scored = right.select(*cols).unionByName(left.select(*cols)).unionByName(none.select(*cols)).where(F.col("score") >= least)
     best = scored.groupBy("left_word", "right_word", "side").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("freq")).alias("f"), "left_new", "right_new")).alias("b"))

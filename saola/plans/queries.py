@@ -25,8 +25,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 SEED = "42"
 
 
+#: Tables under so many bytes are dealt out to all cores: a small file is often a single row group, thus one task.
+SMALL = 64 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if 1 << 20 < size < SMALL else df
 
 
 def _words(spark: SparkSession, sf: str, column: str = "input_text") -> DataFrame:
