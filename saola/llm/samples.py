@@ -78,11 +78,11 @@ def _prose(s: list[str], r: random.Random, inverse: dict) -> str:
     if way == 13:
         return f"{r.choice('-*+•')} {text}"
     if way == 14:
-        return r.choice(["  ", " ", "\t ", "_", "__"]).join(text.split(" "))
+        return r.choice(["  ", " ", "\t ", "\t", "_", "__", " - "]).join(text.split(" "))
     if way == 15:
         return _misspell(_wrap(text, r.randint(24, 60)), r).replace(",", r.choice([",", " ,", "...", " -"]))
     if way == 16:
-        return r.choice(["\"{}\"", "“{}”", "({})", "«{}»", "*{}*", ">>> {}"]).format(text)
+        return r.choice(["\"{}\"", "“{}”", "({})", "«{}»", "*{}*", ">>> {}", "([{}])", "--- {} ---", "***{}!!!"]).format(text)
     names = ["môn", "lớp", "chủ đề", "câu hỏi", "người hỏi", "mục"]
     eq, part = r.choice([": ", ":", "=", " = "]), r.choice(["\n", "; ", ";", " | "])
     if r.random() < 0.3:
@@ -90,21 +90,23 @@ def _prose(s: list[str], r: random.Random, inverse: dict) -> str:
     return part.join(f"{n}{eq}{text if n.lower() == 'câu hỏi' else _phrase(s, r)}" for n in r.sample(names, len(names)))
 
 
-def _phrase(s: list[str], r: random.Random, most: int = 5) -> str:
+def _phrase(s: list[str], r: random.Random, most: int = 5, least: int = 1) -> str:
     w = r.choice(s).strip(".").replace(",", "").split(" ")
-    n = min(len(w), r.randint(1, most))
+    n = min(len(w), r.randint(least, most))
     k = r.randrange(len(w) - n + 1)
     return " ".join(w[k : k + n])
 
 
 def _list(s: list[str], r: random.Random) -> str:
     n, mark = r.randint(3, 16), r.choice(["- ", "* ", "+ ", "• ", "{}. ", "{}) ", "{}/ ", "({}) ", "", "", "", "[ ] "])
-    items = [mark.replace("{}", str(k + 1)) + _phrase(s, r, 6) for k in range(n)]
+    # short items, or items as long as the lines of wrapped prose
+    least, most = r.choice([(1, 4), (1, 6), (2, 6), (4, 8), (5, 9)] if mark else [(1, 3), (1, 4), (2, 5)])
+    items = [mark.replace("{}", str(k + 1)) + _phrase(s, r, most, least) for k in range(n)]
     if r.random() < 0.12:
         return r.choice(["", "", "Danh sách: ", "Gồm: "]) + r.choice(["; ", ", ", ", ", " / ", " - "]).join(_phrase(s, r, 4) for _ in range(n + 3))
     if r.random() < 0.2:
         dots = r.choice([" ........ ", "\t", " -- ", " … ", "  "])
-        items = [f"{_phrase(s, r, 5)}{dots}{r.randint(1, 400)}" for _ in range(n)]
+        items = [f"{_phrase(s, r, r.choice([4, 7]), r.choice([1, 3]))}{r.choice([dots, dots, ' -- ', ' … '])}{r.randint(1, 400)}" for _ in range(n)]
     text = "\n".join(items)
     return r.choice([text, text, text, _bare(text), text.upper()])
 
