@@ -222,7 +222,9 @@ def suspicious(text: Column) -> Column:
 
 
 def repaired(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds garbled, restored (null where nothing can be restored) and pair to the rows of df whose text is garbled."""
+    """The rows of df whose text is garbled, with restored (null where nothing can be restored) and pair, which replace
+    columns of their names."""
+    df = df.drop("restored", "pair")
     schema = df.schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

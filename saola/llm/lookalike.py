@@ -182,11 +182,13 @@ def plain(text: str | None, model: dict) -> tuple[bool, str | None]:
 
 
 def consistent(df: DataFrame, text_col: str, samples: list[str]) -> DataFrame:
-    """Adds plain_text and disguised to the rows of df that need another form; garbled rows are left out.
+    """The rows of df that need another form, with plain_text, which replaces a column of its name; garbled rows are
+    left out.
 
     samples: Vietnamese texts of bounded size that the letter model is trained on.
     """
     model = bigram_model(samples)
+    df = df.drop("plain_text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

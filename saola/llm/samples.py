@@ -16,7 +16,7 @@ import unicodedata
 from .encoding import legacy, multibyte
 
 #: Documents made for each label.
-PER_LABEL = 1_000
+PER_LABEL = 1_500
 
 
 def _bare(text: str) -> str:
@@ -78,7 +78,7 @@ def _prose(s: list[str], r: random.Random, inverse: dict) -> str:
     if way == 13:
         return f"{r.choice('-*+•')} {text}"
     if way == 14:
-        return r.choice(["  ", " ", "\t ", "\t", "_", "__", " - "]).join(text.split(" "))
+        return r.choice(["  ", " ", "\t ", "\t", "_", "__"]).join(text.split(" "))
     if way == 15:
         return _misspell(_wrap(text, r.randint(24, 60)), r).replace(",", r.choice([",", " ,", "...", " -"]))
     if way == 16:
@@ -102,8 +102,8 @@ def _list(s: list[str], r: random.Random) -> str:
     # short items, or items as long as the lines of wrapped prose
     least, most = r.choice([(1, 4), (1, 6), (2, 6), (4, 8), (5, 9)] if mark else [(1, 3), (1, 4), (2, 5)])
     items = [mark.replace("{}", str(k + 1)) + _phrase(s, r, most, least) for k in range(n)]
-    if r.random() < 0.12:
-        return r.choice(["", "", "Danh sách: ", "Gồm: "]) + r.choice(["; ", ", ", ", ", " / ", " - "]).join(_phrase(s, r, 4) for _ in range(n + 3))
+    if r.random() < 0.35:
+        return r.choice(["", "", "Danh sách: ", "Gồm: "]) + r.choice(["; ", ", ", " / ", " - "]).join(_phrase(s, r, r.choice([3, 5])) for _ in range(n + 3))
     if r.random() < 0.2:
         dots = r.choice([" ........ ", "\t", " -- ", " … ", "  "])
         items = [f"{_phrase(s, r, r.choice([4, 7]), r.choice([1, 3]))}{r.choice([dots, dots, ' -- ', ' … '])}{r.randint(1, 400)}" for _ in range(n)]
