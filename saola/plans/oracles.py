@@ -99,6 +99,23 @@ def coded(x: str) -> str:
     return f"list_transform([{dashed(x)}], lambda y: {tone_last('y')})[1]"
 
 
+def variants(word: str) -> str:
+    """CTE steps from w(word) to v(word, forms): the typing forms of each word, distinct and sorted."""
+    both = lambda x: f"CASE WHEN {tone(x)} = '' THEN [{x}] ELSE [replace({x}, {tone(x)}, right({tone(x)}, 1)), {tone_last(x)}] END"
+    no_w, short = "replace(f, 'w', '')", "replace(f, run, left(run, 1))"
+    toned = f"contains({q(K.TELEX_TONES)}, right(f, 1)) AND f <> ''"
+    cut = lambda x: f"left({x}, length({x}) - 1)"
+    # RE2 has no back references: the first doubled letter is looked for by position, then extended
+    start = "list_filter(range(1, length(f)), lambda i: substr(f, i, 1) = substr(f, i + 1, 1))[1]"
+    size = f"len(list_filter(range({start}, length(f) + 1), lambda i: substr(f, {start}, i - {start} + 1) = repeat(substr(f, {start}, 1), i - {start} + 1)))"
+    return f"""b AS (SELECT word, {dashed('word')} AS d, {paired('word')} AS p FROM {word})
+            , f AS (SELECT word, unnest(list_concat({both('d')}, {both('p')})) AS f FROM b)
+            , r AS (SELECT word, f, coalesce(substr(f, {start}, {size}), '') AS run FROM f)
+            , x AS (SELECT word, unnest(list_filter([f, CASE WHEN length(f) - length({no_w}) = 1 THEN {no_w} || 'w' END, CASE WHEN length(f) - length({no_w}) = 1 AND {toned} THEN {cut(no_w)} || 'w' || right(f, 1) END,
+                CASE WHEN run <> '' AND {toned} THEN {cut(short)} || left(run, 1) || right(f, 1) END, CASE WHEN run <> '' THEN {short} || left(run, 1) END], lambda y: y IS NOT NULL)) AS v FROM r)
+            , v AS (SELECT word, list_sort(list_distinct(list(v))) AS forms FROM x GROUP BY word)"""
+
+
 def draw(key: str, purpose: str) -> str:
     return f"CAST('0x' || substr(md5({key} || {q('|' + purpose)}), 1, 8) AS BIGINT)"
 
@@ -192,6 +209,17 @@ def oracles() -> dict[str, str]:
         "pre_correct": f"SELECT row_id, {squeeze(acronyms(bare(c)))} AS fixed FROM training_data WHERE {c} IS NOT NULL",
         "fold_letters": f"SELECT row_id, {folded('lower(corrected)', False)} AS plain, {folded('lower(corrected)', True)} AS compat FROM training_data WHERE corrected IS NOT NULL",
         "telex_words": f"SELECT word, {dashed('word')} AS dashed, {paired('word')} AS paired, {coded('word')} AS coded FROM ({words('corrected')})",
+        "telex_variants": f"WITH w AS ({words('corrected')}), {variants('w')} SELECT word, array_to_string(forms, ' ') AS forms FROM v",
+        "telex_errors": f"""WITH w AS ({words('corrected')}), {variants('w')}
+            , o AS (SELECT word, list_filter(forms, lambda y: y <> word OR len(forms) = 1) AS fs FROM v)
+            , e AS (SELECT word, {pick('fs', key, 'telex')} AS typed, {pick('fs', f"({key} || '|step0')", 'telex')} AS step FROM o)
+            SELECT word, typed, CAST(typed <> word AS INT) AS typed_n, CASE WHEN length(step) <= 1 THEN step ELSE left(step, {draw(f"({key} || '|step1')", 'delete0')} % length(step)) || substr(step, {draw(f"({key} || '|step1')", 'delete0')} % length(step) + 2) END AS chained,
+            CAST(step <> word AS INT) + CASE WHEN length(step) <= 1 THEN 0 ELSE 1 END AS chained_n FROM e""",
+        "retagged": f"""WITH p AS (SELECT row_id, {spaced('detected')} AS t, regexp_extract_all({spaced('detected')} || ' ', '((?:<error> )*[^ ]+ (?:</error> )*)', 1) AS u, {pieces('corrected')} AS a FROM training_data WHERE detected IS NOT NULL AND corrected IS NOT NULL)
+            SELECT row_id, CASE WHEN len(u) = len(a) THEN array_to_string(list_transform(u, lambda x, i: CASE WHEN {strip(sub('x', '</?error>', ''))} <> a[i] THEN a[i] ELSE {strip('x')} END), ' ') ELSE t END AS retagged FROM p""",
+        "repeat_runs": f"""WITH l AS (SELECT row_id, unnest(string_split({c}, ' ')) AS word, generate_subscripts(string_split({c}, ' '), 1) - 1 AS word_index FROM training_data WHERE {c} IS NOT NULL)
+            , s AS (SELECT *, list_filter(range(1, length(word)), lambda i: substr(word, i, 1) = substr(word, i + 1, 1) AND {hit('substr(word, i, 1)', '^' + W + '$')} AND (i = 1 OR substr(word, i - 1, 1) <> substr(word, i, 1))) AS st FROM l WHERE word NOT IN {SPECIAL})
+            SELECT row_id, word, word_index, array_to_string(list_transform(st, lambda i: substr(word, i, len(list_filter(range(i, length(word) + 1), lambda j: substr(word, i, j - i + 1) = repeat(substr(word, i, 1), j - i + 1))))), ' ') AS runs FROM s WHERE len(st) > 0""",
         "telex_dictionary": telex,
         "telex_lookup": f"""WITH d AS ({telex}), l AS (SELECT row_id, unnest({pieces(c)}) AS w, generate_subscripts({pieces(c)}, 1) AS pos FROM training_data WHERE {c} IS NOT NULL)
             , s AS (SELECT row_id, pos, CASE WHEN contains({q(K.PUNCTUATION)}, right(w, 1)) THEN left(w, length(w) - 1) ELSE w END AS telex, CASE WHEN contains({q(K.PUNCTUATION)}, right(w, 1)) THEN right(w, 1) ELSE '' END AS mark FROM l)
