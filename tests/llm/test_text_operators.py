@@ -312,3 +312,20 @@ def test_copies_oracle(spark):
     for t in ("training_data", "log_items"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert set(c.sql(text_oracles.oracles()["p2_found"]).fetchall()) == {tuple(r) for r in queries.p2_found(spark, SF).collect()}
+
+
+def test_golay_code_is_perfect():
+    from saola.llm import covering
+
+    values = np.random.default_rng(1).integers(0, 1 << 23, 200)
+    assert all(len(a) == 1 for a in covering.nearest(values, 3))
+    assert min(int(np.bitwise_count(x ^ y)) for x, y in itertools.combinations(covering.code()[:300], 2)) == 7
+
+
+def test_covering_is_complete(spark):
+    from saola.llm import covering
+
+    rows = [t for t in near_rows(5) if t is None or len(t.split()) <= 39][:150]
+    df = spark.createDataFrame(list(enumerate(rows)), "row_id bigint, text string")
+    want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i] and rows[j] and likeness_of(rows[i], rows[j]) >= 0.6 - 1e-9}
+    assert {(r.a, r.b) for r in covering.covered_pairs(df, "row_id", F.col("text")).collect()} == want
