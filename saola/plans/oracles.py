@@ -163,6 +163,59 @@ def gate(d: str, c: str) -> str:
     return f"CASE WHEN len({d}) = len({c}) THEN array_to_string(list_transform({d}, lambda w, i: CASE WHEN length({c}[i]) > 0 AND {rate} >= 0.5 THEN {c}[i] ELSE w END), ' ') ELSE array_to_string({d}, ' ') END"
 
 
+def training() -> str:
+    """Training rows: the plan of each row, its words with their functions, and each function over its words."""
+    k = "('42|' || row_id)"
+    cleaned = strip(sub("translate(replace(replace(corrected, 'ntn', 'như thế nào'), 'đ/nghĩa', 'định nghĩa'), '–'':;', '-')", " {2,}", " "))
+    normal = f"(2 + sqrt(-2 * ln(1 - {unit(k, 'normal1')})) * cos(2 * 3.141592653589793 * {unit(k, 'normal2')}))"
+    heads, tails = lists(K.MISSPELT_HEADS), lists(K.MISSPELT_TAILS)
+    ends = [f"WHEN {tails}[right(word, {n})] IS NOT NULL THEN left(word, greatest(length(word) - {n}, 0)) || {pick(f'{tails}[right(word, {n})]', 'k', 'tail')}" for n in (3, 2, 1)]
+    tail = f"CASE {' '.join(ends)} WHEN {tails}[left(word, 1)] IS NOT NULL THEN {pick(f'{tails}[left(word, 1)]', 'k', 'tail')} || substr(word, 2) ELSE word END"
+    head = (
+        f"CASE WHEN {heads}[left(word, 2)] IS NOT NULL THEN replace(word, left(word, 2), {pick(f'{heads}[left(word, 2)]', 'k', 'head')}) "
+        f"WHEN {heads}[left(word, 1)] IS NOT NULL THEN {pick(f'{heads}[left(word, 1)]', 'k', 'head')} || substr(word, 2) ELSE word END"
+    )
+    delete = lambda w, key: f"CASE WHEN length({w}) <= 1 THEN {w} ELSE left({w}, {draw(key, 'delete0')} % length({w})) || substr({w}, {draw(key, 'delete0')} % length({w}) + 2) END"
+    insert = lambda w, key: f"left({w}, {draw(key, 'place0')} % length({w}) + 1) || substr({q(K.ALPHABET)}, {draw(key, 'letter0')} % {len(K.ALPHABET)} + 1, 1) || substr({w}, {draw(key, 'place0')} % length({w}) + 2)"
+    step = lambda n: f"(k || '|step{n}')"
+
+    def shapes(table: str, name: str, key: str) -> str:
+        spots = last_spots("".join(K.DROP_SHAPE))
+        first = f"floor(ln(1.0 - {unit(key, 'shape')} * (1 - pow(0.6, len(sh)))) / ln(0.6))"
+        hits = f"list_filter(sh, lambda x, j: (j - 1) = fi OR ((j - 1) > fi AND {unit(f"({key} || '|' || (j - 1))", 'shape')} < 0.4))"
+        return f"""{name}s AS (SELECT *, {spots} AS sh FROM {table}), {name}f AS (SELECT *, CASE WHEN len(sh) > 0 THEN {first} END AS fi FROM {name}s)
+            , {name}h AS (SELECT *, {hits} AS hs FROM {name}f), {name} AS (SELECT row_id, pos, k, {replaced('hs', f'{mapping(K.DROP_SHAPE)}[c]')} AS word FROM {name}h)"""
+
+    def tones(table: str, name: str) -> str:
+        return f"{name}s AS (SELECT *, {last_spots(''.join(K.DROP_TONE))} AS tn FROM {table}), {name} AS (SELECT row_id, pos, k, {replaced('tn', f'{mapping(K.DROP_TONE)}[c]')} AS word FROM {name}s)"
+
+    of = lambda n: f"(SELECT row_id, pos, k, word FROM e WHERE f = {n})"
+    typed = f"""SELECT e.row_id, e.pos, e.k, e.f, {pick('list_filter(v.forms, lambda y: y <> e.word OR len(v.forms) = 1)', step(0).replace('k', 'e.k', 1), 'telex')} AS word FROM e JOIN v ON v.word = e.word WHERE e.f IN (1, 2)"""
+    return f"""WITH c AS (SELECT row_id, {cleaned} AS corrected FROM training_data), a AS (SELECT *, {k} AS rk FROM c WHERE corrected <> '')
+        , p AS (SELECT *, string_split(corrected, ' ') AS ws, round(CASE WHEN {normal} > 1 THEN {normal} ELSE 1 + 5 * {unit(k, 'uniform')} END, 6) / 10 AS ratio,
+            {draw('rk', 'mains')} % 3 + 1 AS m, {draw('rk', 'seconds')} % 2 + 1 AS s FROM a)
+        , g AS (SELECT *, CAST(ceil(least(ratio, 1.0) * len(ws)) AS INT) AS total,
+            list_concat(list_transform(range(1, m + 1), lambda i: {draw("(rk || '|' || i)", 'main')} % 7), list_transform(range(1, s + 1), lambda i: 7 + {draw("(rk || '|' || i)", 'second')} % 3)) AS choices,
+            list_concat(list_transform(range(1, m + 1), lambda i: round((1 - CAST(0.2 AS DOUBLE) * s) / m, 6)), list_transform(range(1, s + 1), lambda i: CAST(0.2 AS DOUBLE))) AS shares FROM p)
+        , d AS (SELECT *, list_transform(range(1, len(shares) + 1), lambda j: list_sum(list_transform(shares[1:j], lambda x: CAST(ceil(x * total) AS INT)))) AS ends FROM g)
+        , w AS (SELECT row_id, rk, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos, total, choices, ends FROM d)
+        , r AS (SELECT *, rk || '|' || pos AS k, row_number() OVER (PARTITION BY row_id ORDER BY {draw("(rk || '|' || pos)", 'rank')}, pos) - 1 AS rank FROM w)
+        , e AS (SELECT row_id, pos, k, word, CASE WHEN rank < least(total, ends[-1]) THEN choices[len(list_filter(ends, lambda x: x <= rank)) + 1] END AS f FROM r)
+        , tw AS (SELECT DISTINCT word FROM e WHERE f IN (1, 2)), {variants('tw').replace('b AS', 'vb AS', 1).replace('FROM b)', 'FROM vb)').replace(' f AS (SELECT word, unnest', ' vf AS (SELECT word, unnest', 1).replace('FROM f)', 'FROM vf)').replace(', r AS (SELECT word, f', ', vr AS (SELECT word, f', 1).replace('FROM r)', 'FROM vr)').replace(', x AS', ', vx AS', 1).replace('FROM x GROUP', 'FROM vx GROUP')}
+        , t AS ({typed})
+        , {shapes(of(0), 's0', step(0))}, {tones('s0', 't0')}, {shapes(of(3), 's3', 'k')}, {tones(of(4), 't4')}
+        , a9 AS (SELECT *, {last_spots(K.VOWELS)} AS vw FROM {of(9)})
+        , n AS (SELECT row_id, pos, word FROM t0 UNION ALL SELECT row_id, pos, {delete('word', step(1))} FROM t WHERE f = 1 UNION ALL SELECT row_id, pos, {insert('word', step(1))} FROM t WHERE f = 2
+            UNION ALL SELECT row_id, pos, word FROM s3 UNION ALL SELECT row_id, pos, word FROM t4 UNION ALL SELECT row_id, pos, {tail} FROM {of(5)} UNION ALL SELECT row_id, pos, {head} FROM {of(6)}
+            UNION ALL SELECT row_id, pos, {delete('word', 'k')} FROM {of(7)} UNION ALL SELECT row_id, pos, {insert('word', 'k')} FROM {of(8)}
+            UNION ALL SELECT row_id, pos, {replaced('vw', pick(f'{lists(K.ADD_TONE)}[c]', "(k || '|' || (i - 1))", 'tone'))} FROM a9 UNION ALL SELECT row_id, pos, word FROM e WHERE f IS NULL)
+        , i AS (SELECT row_id, string_agg(word, ' ' ORDER BY pos) AS input_text FROM n GROUP BY row_id)
+        , o AS (SELECT a.row_id, a.corrected, i.input_text, {pieces('a.corrected')} AS o, {pieces('i.input_text')} AS n FROM a JOIN i USING (row_id))
+        , y AS (SELECT *, list_filter(o, lambda w, i: coalesce(w <> n[i], true)) AS x FROM o)
+        SELECT row_id, corrected, input_text, array_to_string(list_transform(o, lambda w, i: CASE WHEN coalesce(w <> n[i], true) THEN '<error> ' || n[i] || ' </error>' ELSE w END), ' ') AS detected,
+        CASE WHEN len(x) = 0 THEN '<non_error>' ELSE array_to_string(x, ' <corrected> ') END AS new_target FROM y"""
+
+
 def oracles() -> dict[str, str]:
     c = "input_text"
     rejected = lambda x: f"(contains({x}, 'http') OR len(string_split({x}, ' ')) < 5 OR NOT {hit(x, chr(91) + '^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} OR length({x}) - length({sub(x, ASCII_PUNCTUATION, '')}) > 5 OR {hit(x, QUOTING)})"
@@ -220,6 +273,7 @@ def oracles() -> dict[str, str]:
         "repeat_runs": f"""WITH l AS (SELECT row_id, unnest(string_split({c}, ' ')) AS word, generate_subscripts(string_split({c}, ' '), 1) - 1 AS word_index FROM training_data WHERE {c} IS NOT NULL)
             , s AS (SELECT *, list_filter(range(1, length(word)), lambda i: substr(word, i, 1) = substr(word, i + 1, 1) AND {hit('substr(word, i, 1)', '^' + W + '$')} AND (i = 1 OR substr(word, i - 1, 1) <> substr(word, i, 1))) AS st FROM l WHERE word NOT IN {SPECIAL})
             SELECT row_id, word, word_index, array_to_string(list_transform(st, lambda i: substr(word, i, len(list_filter(range(i, length(word) + 1), lambda j: substr(word, i, j - i + 1) = repeat(substr(word, i, 1), j - i + 1))))), ' ') AS runs FROM s WHERE len(st) > 0""",
+        "training_rows": training(),
         "telex_dictionary": telex,
         "telex_lookup": f"""WITH d AS ({telex}), l AS (SELECT row_id, unnest({pieces(c)}) AS w, generate_subscripts({pieces(c)}, 1) AS pos FROM training_data WHERE {c} IS NOT NULL)
             , s AS (SELECT row_id, pos, CASE WHEN contains({q(K.PUNCTUATION)}, right(w, 1)) THEN left(w, length(w) - 1) ELSE w END AS telex, CASE WHEN contains({q(K.PUNCTUATION)}, right(w, 1)) THEN right(w, 1) ELSE '' END AS mark FROM l)
