@@ -166,7 +166,8 @@ def cut(text: str) -> list[tuple[int, int, list[str], bool]]:
 
 
 def segments(df: DataFrame, id_col: str, text_col: str, texts: list[tuple[str, str]]) -> DataFrame:
-    """(id, start, end, words, lang, confidence): the segments of every text, neighbours of one language joined."""
+    """(id, start, end, words, lang, confidence): the segments of every text, neighbours of one language joined;
+    none where there are no samples."""
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, start int, end int, words int, lang string, confidence double"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +187,7 @@ def segments(df: DataFrame, id_col: str, text_col: str, texts: list[tuple[str, s
                     clauses.append(found)
                     sentence.append(sentence[-1] + new if sentence else 0)
                     new = last
-            if not ids:
+            if not ids or not p.langs:
                 continue
             lang, sure = p.judge(clauses, sentence)
             size = np.array([len(c) for c in clauses])

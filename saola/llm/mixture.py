@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -116,8 +116,9 @@ def reached(mixed: DataFrame, plan: list[Share]) -> DataFrame:
     spark = mixed.sparkSession
     rows = spark.createDataFrame([(p.source, p.target, p.cap, p.repeats) for p in plan], "source string, target_share double, max_repeats int, repeats double")
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    total = got.agg(F.sum("tokens").alias("total"))
+    # as many rows as sources
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     return (
-        rows.join(got, "source", "left").crossJoin(F.broadcast(total))  # one row
-        .select("source", "target_share", "max_repeats", "repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("share"))
+        rows.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+        .select("source", "target_share", "max_repeats", "repeats", "tokens", F.round(F.try_divide("tokens", total), 6).alias("share"))
     )

@@ -45,7 +45,7 @@ def quality(df: DataFrame, text_col: str, common: list[str], function: list[str]
     """df with the figures of FEATURES, which replace columns of their names (names that begin with _ are
     dropped, too). common, function: accent-folded word lists of bounded size."""
     keep = [c for c in df.columns if c not in FEATURES and not c.startswith("_")]
-    quoted = lambda ws: ", ".join("'" + w.replace("'", "") + "'" for w in sorted(set(ws)))
+    quoted = lambda ws: ", ".join("'" + w.replace("'", "") + "'" for w in sorted(set(ws)) or [""])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     syllable = "^[bcdfghjklmnpqrstvwxz]{0,3}[aeiouy]{1,3}(ng|nh|ch|[cmnpt])?$"
     bullet = r"^\\s*([-*+•·–>#]|\\(?[0-9]{1,3}[.)/:]|[a-zA-Z][.)])\\s"

@@ -152,6 +152,8 @@ def labelled(sentences: list[str], seed: int = 11, per_label: int = PER_LABEL) -
     """(text, label) rows, 3 * per_label of prose and per_label each of list, table and junk."""
     r = random.Random(seed)
     s = sorted({x for x in sentences if x and len(x.split(" ")) >= 8 and "\n" not in x})
+    if not s:
+        return []
     inverse: dict[str, dict[str, str]] = {}
     for g, pairs in sorted(multibyte().items()):
         for p, c in pairs.items():
