@@ -112,3 +112,10 @@ def test_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "text"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    for path in glob.glob(f"{SF}/*.parquet"):
+        spark.read.parquet(path).limit(0).write.parquet(str(tmp_path / os.path.basename(path)))
+    for name, query in queries.queries().items():
+        assert query(spark, str(tmp_path)).count() == 0, name
