@@ -17,7 +17,7 @@ from ..operators import tagging as T
 from ..operators import telex as X
 from ..operators import vocabulary as V
 from ..sources import io
-from ..sources.scratch import scratch_dir, stage
+from ..sources.scratch import forget, scratch_dir, stage
 from ..streaming import queue
 from . import correct as C
 
@@ -317,6 +317,7 @@ def queue_stream(spark: SparkSession, sf: str) -> DataFrame:
     root = f"{scratch_dir(spark)}/queue-{uuid.uuid4().hex}"
     light = lambda rows: rows.select("id", N.pre_correct(F.col("content")).alias("prediction"))
     table(spark, sf, "request_items").select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in io.QUEUE_SCHEMA.split(", ")]).write.parquet(f"{root}/in")
+    forget(spark, root)
     queue.serve(queue.read_queue(spark, f"{root}/in"), light, f"{root}/out", f"{root}/checkpoint", f"{root}/log").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("id", "prediction", "finish")
 

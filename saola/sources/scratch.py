@@ -17,9 +17,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Has an existing path deleted when the session's JVM ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    root = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{root}/{name}"
     df.write.parquet(path)
+    forget(spark, root)
     return spark.read.schema(df.schema).parquet(path)
