@@ -83,8 +83,7 @@ def copy_groups(df: DataFrame, id_col: str, text_col: str, part: str | None = No
     keys and salted for the confirming comparison, so no task holds a whole group.
     """
     rows = (
-        df.select(F.col(part) if part else F.lit("").alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .toDF("part", "id", "text")
+        df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where("text IS NOT NULL AND id IS NOT NULL")
         .select("part", "id", canonical("text").alias("canon"))
         .select("part", "id", "canon", digest("canon").alias("root"))
@@ -116,13 +115,12 @@ def copy_groups(df: DataFrame, id_col: str, text_col: str, part: str | None = No
     )
 
 
-def copy_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(first_id, copies): one row for each distinct record with the number of ids that hold it."""
+def copy_counts(df: DataFrame, id_col: str, text_col: str, part: str | None = None) -> DataFrame:
+    """(part, first_id, copies): one row for each distinct record with the number of ids that hold it."""
+    rows = df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return (
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where("text IS NOT NULL AND id IS NOT NULL")
-        .select("id", canonical("text").alias("canon"))
-        .groupBy("canon", "id").agg(F.lit(1).alias("one"))
-        .groupBy("canon").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-        .select("first_id", "copies")
+        rows.where("text IS NOT NULL AND id IS NOT NULL").select("part", "id", canonical("text").alias("canon"))
+        .groupBy("part", "canon", "id").agg(F.lit(1).alias("one"))
+        .groupBy("part", "canon").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+        .select("part", "first_id", "copies")
     )

@@ -53,6 +53,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return copies.copy_groups(train.unionByName(logs), "id", "text", "tbl").select("first_id", "copy_id")
 
 
+def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """One record for each text of a table, and its number of copies."""
+    texts = _texts(spark, sf, ("training_data", "row_id", "input_text"), ("log_items", "log_id", "input_text")).withColumn("id", F.col("record_id").cast("bigint"))
+    return copies.copy_counts(texts, "id", "text", "tbl").withColumnRenamed("part", "tbl")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return likeness.alike_across(
         table(spark, sf, "training_data"), "row_id", F.col("corrected"),
@@ -60,6 +66,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     ).select("row_id", "eval_id")
 
 
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlaps per evaluation split and source: pairs, evaluation rows and training rows."""
+    rows = table(spark, sf, "evaluation_data").select("eval_id", "split", "source").dropDuplicates(["eval_id"])
+    return p3_found(spark, sf).join(rows, "eval_id").groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("eval_rows"), F.countDistinct("row_id").alias("train_rows"))
+
+
 def typed(df: DataFrame) -> DataFrame:
     """The typed text of a training row: input_text, or detected without its tags."""
     return df.select("row_id", F.coalesce("input_text", F.regexp_replace("detected", "</?error>", "")).alias("text"))
@@ -103,10 +115,20 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_plain(spark, sf).select("tbl", "record_id").distinct()
 
 
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that have near copies, with the group they fall in and their number of links."""
+    return likeness.linked_groups(p5_found(spark, sf), "id_a", "id_b").withColumnRenamed("id", "row_id")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "heldout_items"), "item_id", "passage").select("doc_id", "item_id").distinct()
 
 
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that leaked, with the documents that hold them."""
+    return p7_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 def _mix(spark: SparkSession, sf: str, total: str | None = None) -> tuple[DataFrame, list[mixture.Share]]:
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf, "source_targets").orderBy("source").collect()]
     return mixture.mixture(table(spark, sf, "documents"), "doc_id", "text", "source", targets, total=total)
@@ -148,5 +170,10 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p9_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages of every document with their share of its words and a confidence."""
+    return language.documents(table(spark, sf, "documents"), "doc_id", "text", _samples(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}

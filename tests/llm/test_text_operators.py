@@ -90,6 +90,13 @@ def test_alike_within(spark):
     assert likeness.alike_within(df.limit(0), "row_id", F.col("text")).count() == 0
 
 
+def test_linked_groups(spark):
+    links = [(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 70), (50, 70), (99, 100)]
+    got = {r.id: (r.group_id, r.links) for r in likeness.linked_groups(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}
+    assert {got[i][0] for i in range(1, 31)} == {1} and got[1][1] == 1 and got[2][1] == 2
+    assert got[70] == (50, 2) and got[100] == (99, 1)
+
+
 def test_alike_across(spark):
     r = random.Random(4)
     train = [sentence(r, 34) for _ in range(150)] + [None, ""]
