@@ -36,7 +36,7 @@ SHAPES = {
 }
 CAPITALS = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "В": "B", "Н": "H", "У": "Y", "Ү": "Y", "Т": "T", "М": "M", "Ѕ": "S", "Ԁ": "D", "П": "N",
+    "В": "B", "Н": "H", "У": "Y", "Ү": "Y", "Т": "T", "М": "M", "Ѕ": "S", "Ԁ": "D", "П": "N", "Ð": "Đ", "Ɖ": "Đ", "ɖ": "đ",
 }
 #: Letters that may be read in more than one way.
 ALSO = {"υ": "uv", "ν": "vn", "η": "nh", "п": "n", "ӏ": "li", "ι": "il", "у": "yu", "н": "hn", "в": "bv", "т": "tm", "и": "u", "γ": "yv"}
@@ -61,7 +61,7 @@ def foreign(c: str) -> bool:
     if not unicodedata.category(c).startswith("L"):
         return False
     base = unicodedata.normalize("NFD", c)[0]
-    return not (base.isascii() or c in "đĐªºßæÆøØœŒðÐþÞıłŁħŋ" and c != "ı")
+    return not (base.isascii() or c in "đĐªºßæÆøØœŒðþÞłŁħŋ")
 
 
 @cache

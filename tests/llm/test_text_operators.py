@@ -160,6 +160,7 @@ def model():
 def test_lookalikes(model):
     wide = "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in CLEAN)
     swapped = CLEAN.translate(str.maketrans("aeoicpxy", "аеоісрху"))
+    assert lookalike.plain("Ðường ɖi", model) == (True, "Đường đi")
     for bad in (unicodedata.normalize("NFD", CLEAN), wide, CLEAN.replace(" ", "\xa0"), CLEAN.replace("n", "n​"), swapped, CLEAN.replace("i", "ⅰ").replace("g", "ɡ"), CLEAN.replace("v", "ν")):
         assert lookalike.plain(bad, model) == (True, CLEAN)
 
