@@ -295,6 +295,12 @@ def oracles() -> dict[str, str]:
             {vowel} AS vowel, {vowel_n} AS vowel_n FROM h""",
         "chat_words": f"""SELECT row_id, array_to_string(list_transform({pieces('corrected')}, lambda w, i: CASE WHEN {mapping(K.CHAT)}[w] IS NOT NULL AND {unit("('42|' || row_id || '|' || (i - 1))", 'chat')} < 0.35 THEN {mapping(K.CHAT)}[w] ELSE w END), ' ') AS chat
             FROM training_data WHERE corrected IS NOT NULL""",
+        "swap_ends": f"""WITH p AS (SELECT row_id, string_split(corrected, ' ') AS ws FROM training_data WHERE corrected IS NOT NULL)
+            , h AS (SELECT row_id, list_transform(ws, lambda w, i: struct_pack(w := w,
+                h := CASE WHEN {unit("('42|' || row_id || '|' || (i - 1))", 'head')} < 0.1 THEN {mapping(K.HEAD_SWAPS)}[left(w, 1)] END,
+                t := CASE WHEN {unit("('42|' || row_id || '|' || (i - 1))", 'tail')} < 0.1 THEN {mapping(K.TAIL_SWAPS)}[right(w, 1)] END)) AS xs FROM p)
+            SELECT row_id, array_to_string(list_transform(xs, lambda x: CASE WHEN length(x.w) > 1 THEN coalesce(x.h, left(x.w, 1)) || substr(x.w, 2, length(x.w) - 2) || coalesce(x.t, right(x.w, 1)) ELSE coalesce(x.h, x.t, x.w) END), ' ') AS text,
+            len(list_filter(xs, lambda x: x.h IS NOT NULL OR x.t IS NOT NULL)) AS hit FROM h""",
         "error_tagging": f"""WITH p AS (SELECT row_id, {pieces('corrected')} AS o, {pieces(c)} AS n FROM training_data WHERE corrected IS NOT NULL AND {c} IS NOT NULL)
             , r AS (SELECT *, list_filter(o, lambda w, i: coalesce(w <> n[i], true)) AS x FROM p)
             SELECT row_id, array_to_string(list_transform(o, lambda w, i: CASE WHEN coalesce(w <> n[i], true) THEN '<error> ' || n[i] || ' </error>' ELSE w END), ' ') AS tagged,
