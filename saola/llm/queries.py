@@ -50,7 +50,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     train = table(spark, sf, "training_data").select(F.lit("training_data").alias("tbl"), F.col("row_id").alias("id"), F.col("input_text").alias("text"))
     logs = table(spark, sf, "log_items").select(F.lit("log_items").alias("tbl"), F.col("log_id").alias("id"), F.col("input_text").alias("text"))
-    return copies.copy_groups(train.unionByName(logs), "id", "text", "tbl").select("first_id", "copy_id")
+    return copies.copy_groups(train.unionByName(logs), "id", "text", "tbl").select(F.col("part").alias("tbl"), "first_id", "copy_id")
 
 
 def p2_copies(spark: SparkSession, sf: str) -> DataFrame:

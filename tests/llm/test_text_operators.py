@@ -323,6 +323,16 @@ def test_copies_oracle(spark):
     assert set(c.sql(text_oracles.oracles()["p2_found"]).fetchall()) == {tuple(r) for r in queries.p2_found(spark, SF).collect()}
 
 
+def test_copies_name_their_table(spark, tmp_path):
+    train = [(0, "a b"), (1, "A, b"), (3, "c d"), (4, "e"), (8, "E!"), (9, "e")]
+    logs = [(0, "a b"), (1, "x"), (2, "c d"), (3, "C D"), (8, "E!"), (9, "e")]
+    for name, key, rows in (("training_data", "row_id", train), ("log_items", "log_id", logs)):
+        spark.createDataFrame(rows, f"{key} bigint, input_text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    df = queries.p2_found(spark, str(tmp_path))
+    assert df.columns == ["tbl", "first_id", "copy_id"]
+    assert sorted(map(tuple, df.collect())) == [("log_items", 2, 3), ("log_items", 8, 9), ("training_data", 0, 1), ("training_data", 4, 8), ("training_data", 4, 9)]
+
+
 def test_golay_code_is_perfect():
     from saola.llm import covering
 
