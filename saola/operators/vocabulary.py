@@ -6,6 +6,8 @@ sentences that hold it, and joined back.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from .telex import encode
 
 #: Least likeness of a candidate.
 LEAST = 0.87
+#: Most letters deleted from a word to meet another.
+DEEP = 2
 
 
 def corpus_words(df: DataFrame, text_col: str) -> DataFrame:
@@ -81,9 +85,10 @@ def deletions(word: Column, most: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), start, lambda acc, k: F.when(k == 0, acc).otherwise(drop(acc)))
 
 
-def _budget(length: Column, least: float) -> Column:
-    """Most indels between a string of this length and any that reaches the likeness."""
-    return F.least(F.floor((1 - least) * 2 / least * length + 1e-9), F.lit(3)).cast("int")
+def _loss(least: float) -> float:
+    """Share of its letters that a string can lose at most on the way to one that reaches the likeness: x lost and y
+    gained are at most (1 - least) of both lengths n and n - x + y, so (2 - least) x <= 2 (1 - least) n."""
+    return 2 * (1 - least) / (2 - least)
 
 
 def letter_parity(text: Column) -> Column:
@@ -96,13 +101,35 @@ def letter_parity(text: Column) -> Column:
 
 
 def similar_words(wrong: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b, score): words a of wrong(a) and b of right(b) with a likeness of at least `least`, joined on shared
-    deletions. Complete for words of up to 13 letters at 0.87; no pair of all words is formed."""
-    ka = wrong.select("a").distinct().withColumn("key", F.explode(deletions(F.col("a"), _budget(F.length("a"), least))))
-    kb = right.select("b").distinct().withColumn("key", F.explode(deletions(F.col("b"), _budget(F.length("b"), least))))
-    fits = F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= (1 - least) * (F.length("a") + F.length("b")) + 1e-9
-    ka, kb = ka.withColumn("pa", letter_parity(F.col("a"))), kb.withColumn("pb", letter_parity(F.col("b")))
-    return ka.join(kb, "key").where(fits).select("a", "b").distinct().withColumn("score", likeness("a", "b")).where(F.col("score") >= least)
+    """(a, b, score): words a of wrong(a) and b of right(b) with a likeness of at least `least`, complete for any
+    length; no pair of all words is formed. Words that lose at most DEEP letters (up to 13 letters at 0.87) meet on
+    shared deletions; pairs with a longer word meet on its segments."""
+    long = math.ceil((DEEP + 1 - 1e-9) / max(_loss(least), 1e-6))
+    # n letters allow 2 (1 - least) n indels to a word that isn't longer: one more segment than that, one is whole there
+    size = max(1, int(long / (2 * (1 - least) * long + 1)))
+    offered = math.ceil(least / (2 - least) * long - 1e-9)
+    none = F.array().cast("array<struct<kind: int, key: string, at: int>>")
+
+    def parts(c: Column, kind: int, step: int, shortest: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1)), F.lit(step))
+        found = F.transform(at, lambda i: F.struct(F.lit(kind).alias("kind"), F.substring(c, i, F.lit(size)).alias("key"), i.alias("at")))
+        return F.when(F.length(c) >= max(shortest, size), found).otherwise(none)
+
+    def keyed(df: DataFrame, name: str, whole: int) -> DataFrame:
+        """Kind 0: deletions; kind `whole`: disjoint segments; kind 3 - `whole`: what the other side's segments may meet."""
+        c = F.col(name)
+        most = F.floor(_loss(least) * F.length(c) + 1e-9).cast("int")
+        lost = F.when(F.length(c) < long, F.transform(deletions(c, most), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("key"), F.lit(0).alias("at")))).otherwise(none)
+        keys = F.concat(lost, parts(c, whole, size, long), parts(c, 3 - whole, 1, offered))
+        once = df.select(name).where(c.isNotNull()).distinct().withColumn(f"p{name}", letter_parity(c))
+        return once.select(name, f"p{name}", F.explode(keys).alias("k")).select(name, f"p{name}", "k.kind", "k.key", F.col("k.at").alias(f"at_{name}"))
+
+    # exact bounds on shift, lengths and letters before any string is compared
+    indels = (1 - least) * (F.length("a") + F.length("b")) + 1e-9
+    apart = F.greatest(F.abs(F.length("a") - F.length("b")), F.abs(F.col("at_a") - F.col("at_b")), F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))))
+    # a broadcast would be chosen by the size before the keys are made
+    met = keyed(wrong, "a", 1).hint("merge").join(keyed(right, "b", 2).hint("merge"), ["kind", "key"])
+    return met.where(apart <= indels).select("a", "b").distinct().withColumn("score", likeness("a", "b")).where(F.col("score") >= least)
 
 
 def neighbours(wrong: DataFrame, right: DataFrame) -> DataFrame:

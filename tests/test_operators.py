@@ -277,6 +277,25 @@ def test_similar_words_is_complete(spark):
     assert got == want
 
 
+def test_similar_words_is_complete_for_long_words(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abdeghnotu") for _ in range(r.randint(12, 45))) for _ in range(150)]
+    # as many letters replaced, left out or put in as the likeness allows, and some more
+    near = []
+    for w in base:
+        letters = list(w)
+        for _ in range(r.randint(2, max(2, len(w) // 5))):
+            at = r.randrange(len(letters))
+            letters[at] = r.choice(["", letters[at] + "x", "y"])
+        near.append("".join(letters))
+    a, b = spark.createDataFrame([(w,) for w in [*near, None]], "a string"), spark.createDataFrame([(w,) for w in [*base, None]], "b string")
+    for least in (0.87, 0.8):
+        got = [(x.a, x.b) for x in V.similar_words(a, b, least).collect()]
+        want = {(x, y) for x in near for y in base if 2 * V.common_length(x, y) / (len(x) + len(y)) >= least}
+        assert set(got) == want and len(got) == len(want) > 30
+        assert any(len(x) > 25 and len(x) + len(y) - 2 * V.common_length(x, y) > 6 for x, y in want)
+
+
 def test_word_groups(ask):
     got = texts(ask, ["Hôm <error> qua </error> em <error> đi </error> <error> hoc </error> mẫu", "<error> a </error> b", "x y", ""], V.word_groups(C))
     assert [[tuple(g) for g in r[0]] if r[0] else [] for r in got] == [
