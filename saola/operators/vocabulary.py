@@ -132,15 +132,6 @@ def similar_words(wrong: DataFrame, right: DataFrame, least: float = LEAST) -> D
     return met.where(apart <= indels).select("a", "b").distinct().withColumn("score", likeness("a", "b")).where(F.col("score") >= least)
 
 
-def neighbours(wrong: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): equal words of wrong(a) and right(b), and those that are one inserted or deleted letter apart."""
-    one = F.lit(1)
-    ka = wrong.select("a").distinct().withColumn("key", F.explode(deletions(F.col("a"), one)))
-    kb = right.select("b").distinct().withColumn("key", F.explode(deletions(F.col("b"), one)))
-    # a shared deletion of both would be a replaced letter, two indels
-    return ka.join(kb, "key").where((F.col("key") == F.col("a")) | (F.col("key") == F.col("b"))).select("a", "b").distinct()
-
-
 def word_groups(tagged: Column) -> Column:
     """array<struct<left_word, right_word, side>> of a tagged sentence. Each tagged word (the first of its tag) gives a
     group with the word before and one with the word after; side names the correct word, 'none' if both are tagged.
@@ -170,8 +161,7 @@ def group_candidates(groups: DataFrame, bigrams: DataFrame, least: float = LEAST
     """Best dictionary pair of each distinct group: (left_word, right_word, side, left_new, right_new, score).
 
     One correct side: the pair must hold the correct word, the other word is scored by keyboard form. Both sides
-    wrong: the pairs joined by a sign are scored; a score of 0.87 allows three indels to pairs of up to 13 letters, so
-    one of the two words is at most one indel off, and pairs meet on it."""
+    wrong: the pairs joined by a sign are scored, and meet as joined forms: the sign may stand elsewhere."""
     g = groups.distinct().select("left_word", "right_word", "side", encode(F.col("left_word")).alias("lt"), encode(F.col("right_word")).alias("rt"))
     d = bigrams.where("ord = 1").select(F.col("left_word").alias("left_new"), F.col("right_word").alias("right_new"), "left_telex", "right_telex", F.col("n").alias("freq"))
     wrong = g.where("side = 'right'").select(F.col("lt").alias("a")).union(g.where("side = 'left'").select(F.col("rt").alias("a")))
@@ -184,18 +174,9 @@ def group_candidates(groups: DataFrame, bigrams: DataFrame, least: float = LEAST
         g.where("side = 'left'").join(near.withColumnRenamed("a", "rt").withColumnRenamed("b", "right_telex"), "rt")
         .join(d.withColumn("left_word", F.col("left_new")), ["right_telex", "left_word"])
     )
-    pair, want = F.concat_ws("_", "lt", "rt"), F.concat_ws("_", "left_telex", "right_telex")
-    both = g.where("side = 'none'").withColumn("bits", letter_parity(pair))
-    d2 = d.withColumn("bits2", letter_parity(want))
-    one_off = neighbours(both.select(F.col("lt").alias("a")).union(both.select(F.col("rt").alias("a"))), d.select(F.col("left_telex").alias("b")).union(d.select(F.col("right_telex").alias("b"))))
-    # exact bounds on lengths and letters before any string is compared
-    indels = (1 - least) * (F.length(pair) + F.length(want)) + 1e-9
-    fits = (F.abs(F.length(pair) - F.length(want)) <= indels) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= indels)
-    by = [
-        both.join(one_off.withColumnRenamed("a", mine).withColumnRenamed("b", theirs), mine).join(d2, theirs).where(fits).select(*both.columns, *d2.columns)
-        for mine, theirs in (("lt", "left_telex"), ("rt", "right_telex"))
-    ]
-    none = by[0].union(by[1]).drop("bits", "bits2").distinct().withColumn("score", likeness(pair, want))
+    both = g.where("side = 'none'").withColumn("a", F.concat_ws("_", "lt", "rt"))
+    want = d.withColumn("b", F.concat_ws("_", "left_telex", "right_telex"))
+    none = both.join(similar_words(both.select("a"), want.select("b"), least), "a").join(want, "b")
     cols = ["left_word", "right_word", "side", "left_new", "right_new", "freq", "score"]
     scored = right.select(*cols).unionByName(left.select(*cols)).unionByName(none.select(*cols)).where(F.col("score") >= least)
     best = scored.groupBy("left_word", "right_word", "side").agg(F.min(F.struct((-F.col("score")).alias("s"), (-F.col("freq")).alias("f"), "left_new", "right_new")).alias("b"))

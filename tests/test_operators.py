@@ -296,6 +296,26 @@ def test_similar_words_is_complete_for_long_words(spark):
         assert any(len(x) > 25 and len(x) + len(y) - 2 * V.common_length(x, y) > 6 for x, y in want)
 
 
+def test_group_candidates_are_complete(spark):
+    """Groups of two wrong words against brute force: letters replaced in both words, left out, put in, border moved."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("bcghklmnptv") for _ in range(r.randint(7, 10)))
+    pairs = sorted({(word(), word()) for _ in range(60)})
+    put = lambda w, c: (lambda i: w[:i] + c + w[i + 1 :])(r.randrange(1, len(w)))
+    wrong = [x for a, b in pairs for x in ((put(a, "x"), put(b, "q")), (put(a, ""), put(b, "qx")), (put(put(a, "x"), "q"), b), (a[:-2], a[-2:] + b), (a + b[:2], b[2:]))]
+    groups = spark.createDataFrame([(*x, "none") for x in wrong], "left_word string, right_word string, side string")
+    grams = [(a, b, a, b, n + 2, 1) for n, (a, b) in enumerate(pairs)]
+    bigrams = spark.createDataFrame(grams, "left_word string, right_word string, left_telex string, right_telex string, n bigint, ord int")
+    keys = {(x.l, x.r): "_".join((x.a, x.b)) for x in groups.select(F.col("left_word").alias("l"), F.col("right_word").alias("r"), X.encode(F.col("left_word")).alias("a"), X.encode(F.col("right_word")).alias("b")).collect()}
+    want = {}
+    for g, x in keys.items():
+        scored = [(-round(2 * V.common_length(x, f"{a}_{b}") / (len(x) + len(a) + len(b) + 1), 6), -n, a, b) for a, b, _, _, n, _ in grams]
+        if min(scored)[0] <= -0.87:
+            want[g] = min(scored)[2:]
+    got = {(x.left_word, x.right_word): (x.left_new, x.right_new) for x in V.group_candidates(groups, bigrams).collect()}
+    assert got == want and len(want) > 150
+
+
 def test_word_groups(ask):
     got = texts(ask, ["Hôm <error> qua </error> em <error> đi </error> <error> hoc </error> mẫu", "<error> a </error> b", "x y", ""], V.word_groups(C))
     assert [[tuple(g) for g in r[0]] if r[0] else [] for r in got] == [
