@@ -3,11 +3,13 @@
 Words are compared in lower case without accents. A document holds an item if at least LEAST consecutive
 words of its passage stand in it, where scattered words may be misspelt and spaces may differ.
 
-Method: a prefix-filtered set join. Every window of LEAST passage words is a set of five-word shingles;
-any global order of shingles by rarity lets a window that shares OVERLAP of them with a document be found
-through its rarest shingles alone, so only these are looked up. Hits bring the positions in document and
-passage; each document and item is then verified whole, by aligning the passage with the words around the
-hits (the positional bound) and looking for LEAST held words in a row.
+Method: a set join on shingles of SHINGLE words. Misspelt words part the exact ones into runs; as RIGHT of the
+held words are exact, a held stretch has a window of LEAST words that shares OVERLAP pairs of neighbouring words
+with the document (e exact of n words leave at least 2 e - n - 1 pairs: 7 of 20 words; longer stretches are covered
+by windows, of which one has 5 or more). A window is found through its rarest pairs, all but OVERLAP - 1. Hits bring the positions in document and passage; those with HINT words that agree on their diagonal or
+beside it go on (a stretch with several words split or joined can fall short of it). Each document and item is
+then verified whole, by aligning the passage with the words around the hits (the positional bound) and looking
+for LEAST held words in a row.
 
 The items are a stated query set; they are taken in blocks of BLOCK shingles, each compared with every
 document in one pass without a shuffle. Null and empty texts hold nothing, items shorter than LEAST are
@@ -30,11 +32,13 @@ from .encoding import letters
 
 #: Words in a row that make a leak, words of a shingle, shingles that a window must share, words compared
 #: beyond a hit, share of held words that must be right, likeness of a misspelt stretch.
-LEAST, SHINGLE, OVERLAP, MARGIN, RIGHT, MISSPELT = 20, 5, 3, 12, 0.7, 0.6
+LEAST, SHINGLE, OVERLAP, MARGIN, RIGHT, MISSPELT = 20, 2, 5, 12, 0.7, 0.6
 #: Words that must agree within LEAST words on either side of a hit before the texts are aligned.
 HINT = 9
 #: Item shingles (16 bytes each) that go to the workers at once.
 BLOCK = 500_000
+#: Hits whose surroundings are compared at once.
+HITS = 50_000
 
 
 def bare_text(text: Column) -> Column:
@@ -178,13 +182,19 @@ def _finder(items: list[tuple[object, list[str], np.ndarray]]):
                 got = shingles(flat)
                 where = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
                 hit = np.flatnonzero(keys[where] == got)
-                k = where[hit]
-                many = counts[k]
-                p = np.repeat(hit, many)
-                s = np.repeat(starts[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(hit) else np.zeros(0, np.int64)
-                item, q = spots[s, 0], spots[s, 1]
-                good = near(flat, p, base[item] + q) >= HINT
-                p, item, q = p[good], item[good], q[good]
+                # a common pair stands at many places: a bounded number of hits at a time
+                ends = np.cumsum(counts[where[hit]])
+                cuts = np.searchsorted(ends, np.arange(HITS, ends[-1], HITS)) if len(hit) else []
+                kept = [(np.zeros(0, np.int64),) * 3]
+                for some in np.split(hit, cuts):
+                    k = where[some]
+                    many = counts[k]
+                    p = np.repeat(some, many)
+                    s = np.repeat(starts[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                    item, q = spots[s, 0], spots[s, 1]
+                    good = near(flat, p, base[item] + q) >= HINT
+                    kept.append((p[good], item[good], q[good]))
+                p, item, q = (np.concatenate(x) for x in zip(*kept))
                 row = np.searchsorted(first, p, side="right") - 1
                 todo: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
                 for r, i, a, b in zip(row.tolist(), item.tolist(), (p - first[row]).tolist(), q.tolist()):

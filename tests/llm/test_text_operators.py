@@ -229,6 +229,20 @@ def test_leaks(spark):
     assert leaks.leaked(df.limit(0).drop("item_id"), "doc_id", "text", it, "item_id", "passage").count() == 0
 
 
+def test_leaks_without_long_runs(spark):
+    """Twenty words with up to six misspelt, so that no five, or no four, agree in a row."""
+    r = random.Random(9)
+    items = [(k, sentence(r, 60)) for k in range(3)]
+    around = lambda: sentence(r, 25)
+    docs = []
+    for k, wrong in enumerate(({4, 9, 14}, {3, 7, 11, 15}, {2, 5, 8, 11, 14, 17})):
+        piece = items[k][1].split()[10 * k : 10 * k + 20]
+        docs.append((k, f"{around()} {' '.join(w + 'q' if i in wrong else w for i, w in enumerate(piece))} {around()}"))
+    docs.append((9, around()))
+    got = leaks.leaked(spark.createDataFrame(docs, "d bigint, t string"), "d", "t", spark.createDataFrame(items, "i bigint, p string"), "i", "p")
+    assert {tuple(x)[:2] for x in got.collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_leak_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK", 40)
     r = random.Random(3)
