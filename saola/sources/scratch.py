@@ -9,18 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one of our own only where none is set."""
+    """The shared folder of spark.checkpoint.dir. Where none is set a local session gets a folder of its own; on a
+    cluster that is an error, because executors don't see one another's disks."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not given:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="saola-")
         spark.conf.set("spark.checkpoint.dir", given)
     return given.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Has an existing path deleted when the session's JVM ends."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _path(spark, path)
+    files.deleteOnExit(target)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -30,4 +39,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{root}/{name}"
     df.write.parquet(path)
     forget(spark, root)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged = root
+    return back
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes the table of a staged df that no plan needs any more."""
+    if root := getattr(df, "_staged", None):
+        target, files = _path(df.sparkSession, root)
+        files.delete(target, True)
