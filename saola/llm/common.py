@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_dir, stage
+from ..sources.scratch import scratch_dir, stage, unstage
 
-__all__ = ["HOT_KEYS", "HOT_ROWS", "SALTS", "numbered", "parity", "scratch_dir", "segments", "stage", "table", "windows", "word_hashes", "words"]
+__all__ = ["HOT_KEYS", "HOT_ROWS", "SALTS", "numbered", "parity", "scratch_dir", "segments", "stage", "table", "unstage", "windows", "word_hashes", "words"]
 
 #: Groups of more rows than this are looked up through a broadcast of the largest groups.
 HOT_ROWS = 5_000

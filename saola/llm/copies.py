@@ -4,7 +4,7 @@ A text is read as a record: a form (fields `name: value` or `name = value` parte
 ends) is an unordered node over its fields, any other text is one leaf. Leaves are normalised (lower
 case, letters and digits only), the digests of unordered children are sorted, and records are grouped
 by root digest. A full comparison of the canonical record confirms every group, so a digest collision
-can't join two texts.
+can't join two texts. The canonical records are computed once and staged.
 
 Nulls are never copies. Texts without a letter or digit have an empty leaf and are copies of each
 other only if their characters agree. An id that arrives more than once counts once.
@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_KEYS, HOT_ROWS, SALTS
+from .common import HOT_KEYS, HOT_ROWS, SALTS, stage
 
-FIELD = r"^\\s*[^:=]{1,40}[:=]"
+FIELD = r"^\\s*[^:=]+[:=]"
+#: A form as a nested record: an unordered array of fields.
+FORM = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
 
 
 def leaf(text: Column) -> Column:
@@ -28,29 +30,39 @@ def leaf(text: Column) -> Column:
 
 def _field(part: str) -> str:
     name = f"regexp_replace(lower(regexp_extract({part}, '^([^:=]*)[:=]', 1)), '[^\\\\p{{L}}\\\\p{{N}}]+', '')"
-    value = f"regexp_replace(lower(regexp_replace({part}, '^[^:=]{{0,40}}[:=]', '')), '[^\\\\p{{L}}\\\\p{{N}}]+', '')"
+    value = f"regexp_replace(lower(regexp_replace({part}, '^[^:=]*[:=]', '')), '[^\\\\p{{L}}\\\\p{{N}}]+', '')"
     return f"concat({name}, '\\u0002', {value})"
 
 
-def canonical(text: str) -> Column:
-    """The canonical record of a text column: its sorted fields for a form, else its one leaf."""
-    parts = f"filter(split({text}, '[;|\\\\r\\\\n]+'), p -> trim(p) <> '')"
+def _parts(text: str) -> str:
+    return f"filter(split({text}, '[;|\\\\r\\\\n]+'), p -> trim(p) <> '')"
+
+
+def is_form(text: str) -> Column:
+    """Most parts of the text are fields, the first of them too."""
+    parts = _parts(text)
     fields = f"filter({parts}, p -> p rlike '{FIELD}')"
-    form = (
+    return F.expr(
         f"{text} rlike '[:=]' AND {text} rlike '[;|\\\\n]' AND size({fields}) >= 2 "
         f"AND 2 * size({fields}) > size({parts}) AND element_at({parts}, 1) rlike '{FIELD}'"
     )
-    return F.when(
-        F.expr(form), F.expr(f"concat('\\u0003', array_join(array_sort(transform({parts}, p -> {_field('p')})), '\\u0003'))")
-    ).otherwise(leaf(F.col(text)))
+
+
+def form_record(text: str) -> Column:
+    """The sorted fields of a form in one string."""
+    return F.expr(f"concat('\\u0003', array_join(array_sort(transform({_parts(text)}, p -> {_field('p')})), '\\u0003'))")
+
+
+def canonical(text: str) -> Column:
+    """The canonical record of a text column: its sorted fields for a form, else its one leaf."""
+    return F.when(is_form(text), form_record(text)).otherwise(leaf(F.col(text)))
 
 
 def digest(canonical_col: str) -> Column:
-    """Root digest of a canonical record: md5 over the sorted md5s of its fields."""
-    return F.when(
-        F.col(canonical_col).startswith("\u0003"),
-        F.expr(f"md5(array_join(array_sort(transform(split(substring({canonical_col}, 2), '\\u0003'), f -> md5(f))), ''))"),
-    ).otherwise(F.md5(F.col(canonical_col)))
+    """Root digest of a canonical record: a form is an unordered node over its fields, any other text a leaf."""
+    pair = "struct(split(f, '\\u0002')[0] AS name, split(f, '\\u0002')[1] AS value)"
+    form = F.expr(f"transform(split(substring({canonical_col}, 2), '\\u0003'), f -> {pair})")
+    return F.when(F.col(canonical_col).startswith("\u0003"), merkle(form, FORM, unordered_arrays=True)).otherwise(F.md5(F.col(canonical_col)))
 
 
 def merkle(value: Column, kind: T.DataType, unordered_arrays: bool = False) -> Column:
@@ -76,18 +88,23 @@ def merkle(value: Column, kind: T.DataType, unordered_arrays: bool = False) -> C
     return F.coalesce(F.md5(value.cast("string")), null)
 
 
+def records(df: DataFrame, id_col: str, text_col: str, part: str | None = None) -> DataFrame:
+    """(part, id, root, canon): the canonical record of every text and its root digest."""
+    return (
+        df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        .where("text IS NOT NULL AND id IS NOT NULL")
+        .select("part", "id", F.explode(F.array(canonical("text"))).alias("canon"))
+        .select("part", "id", digest("canon").alias("root"), "canon")
+    )
+
+
 def copy_groups(df: DataFrame, id_col: str, text_col: str, part: str | None = None) -> DataFrame:
     """(part, first_id, copy_id): one row for each further id of every group of copies.
 
     Hot groups (a third of all rows, say) are found by their digest in a broadcast of at most HOT_KEYS
     keys and salted for the confirming comparison, so no task holds a whole group.
     """
-    rows = (
-        df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .where("text IS NOT NULL AND id IS NOT NULL")
-        .select("part", "id", canonical("text").alias("canon"))
-        .select("part", "id", "canon", digest("canon").alias("root"))
-    )
+    rows = stage(records(df, id_col, text_col, part), "records")
     key = ["part", "root"]
     groups = rows.groupBy(*key).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select(*key, "n")
     hot = groups.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *key).limit(HOT_KEYS).withColumnRenamed("n", "hot_n")
@@ -116,11 +133,11 @@ def copy_groups(df: DataFrame, id_col: str, text_col: str, part: str | None = No
 
 
 def copy_counts(df: DataFrame, id_col: str, text_col: str, part: str | None = None) -> DataFrame:
-    """(part, first_id, copies): one row for each distinct record with the number of ids that hold it."""
-    rows = df.select((F.col(part) if part else F.lit("")).alias("part"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(part, root, first_id, copies): one row for each distinct record, with its root digest and the number of ids
+    that hold it. Ids are counted once, and partly before the shuffle, so a hot group is no hot task."""
+    key = ["part", "root", "canon"]
     return (
-        rows.where("text IS NOT NULL AND id IS NOT NULL").select("part", "id", canonical("text").alias("canon"))
-        .groupBy("part", "canon", "id").agg(F.lit(1).alias("one"))
-        .groupBy("part", "canon").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
-        .select("part", "first_id", "copies")
+        records(df, id_col, text_col, part).groupBy(*key, "id").agg(F.lit(1).alias("one"))
+        .groupBy(*key).agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+        .select("part", "root", "first_id", "copies")
     )

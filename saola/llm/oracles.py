@@ -3,25 +3,34 @@ on small fixtures."""
 
 from __future__ import annotations
 
-FIELD = "'^\\s*[^:=]{1,40}[:=]'"
+FIELD = "'^\\s*[^:=]+[:=]'"
 KEEP = "'[^\\p{L}\\p{N}]+'"
 
 
-def _canonical(table: str, key: str) -> str:
+def _records(table: str, key: str) -> str:
+    """tbl, id, fs (fields of a form: name and value), leaf (any other text) of a table's input_text."""
     flat = f"regexp_replace(lower(input_text), {KEEP}, '', 'g')"
     name = f"regexp_replace(lower(regexp_extract(p, '^([^:=]*)[:=]', 1)), {KEEP}, '', 'g')"
-    value = f"regexp_replace(lower(regexp_replace(p, '^[^:=]{{0,40}}[:=]', '')), {KEEP}, '', 'g')"
+    value = f"regexp_replace(lower(regexp_replace(p, '^[^:=]*[:=]', '')), {KEEP}, '', 'g')"
     return f"""SELECT '{table}' AS tbl, {key} AS id, CASE WHEN len(fs) >= 2 AND 2 * len(fs) > len(ps) AND regexp_matches(ps[1], {FIELD})
           AND regexp_matches(input_text, '[:=]') AND regexp_matches(input_text, '[;|\\n]')
-        THEN chr(3) || array_to_string(list_sort(list_transform(ps, lambda p: {name} || chr(2) || {value})), chr(3))
-        WHEN {flat} = '' THEN chr(1) || trim(input_text) ELSE {flat} END AS canon
+        THEN list_sort(list_transform(ps, lambda p: {{'name': {name}, 'value': {value}}})) END AS form,
+        CASE WHEN {flat} = '' THEN chr(1) || trim(input_text) ELSE {flat} END AS leaf
         FROM (SELECT *, list_filter(ps, lambda p: regexp_matches(p, {FIELD})) AS fs
               FROM (SELECT {key}, input_text, list_filter(regexp_split_to_array(input_text, '[;|\\r\\n]+'), lambda p: trim(p) <> '') AS ps FROM {table} WHERE input_text IS NOT NULL))"""
 
 
 def oracles() -> dict[str, str]:
+    # two texts are the same if their fields or their leaves are
+    rows = f"""r AS (SELECT tbl, id, form, CASE WHEN form IS NULL THEN leaf END AS leaf
+            FROM ({_records("training_data", "row_id")} UNION ALL {_records("log_items", "log_id")}))"""
+    node = lambda x: f"md5(CASE WHEN {x} = '' THEN chr(1) ELSE {x} END)"
+    field = f"md5(array_to_string(list_sort([md5('name=' || {node('f.name')}), md5('value=' || {node('f.value')})]), ''))"
     return {
-        "p2_found": f"""WITH r AS ({_canonical("training_data", "row_id")} UNION ALL {_canonical("log_items", "log_id")})
-            , g AS (SELECT tbl, canon, min(id) AS first_id FROM r GROUP BY ALL)
-            SELECT DISTINCT first_id, id AS copy_id FROM (SELECT tbl, first_id, id FROM r JOIN g USING (tbl, canon) WHERE id <> first_id GROUP BY ALL)""",
+        "p2_found": f"""WITH {rows}, g AS (SELECT tbl, form, leaf, min(id) AS first_id FROM r GROUP BY ALL)
+            SELECT DISTINCT r.tbl, g.first_id, r.id AS copy_id FROM r JOIN g
+            ON r.tbl = g.tbl AND r.form IS NOT DISTINCT FROM g.form AND r.leaf IS NOT DISTINCT FROM g.leaf WHERE r.id <> g.first_id""",
+        "p2_copies": f"""WITH {rows}
+            SELECT tbl, CASE WHEN form IS NULL THEN md5(leaf) ELSE md5(array_to_string(list_sort(list_transform(form, lambda f: {field})), ',')) END AS root,
+            min(id) AS first_id, count(DISTINCT id) AS copies FROM r GROUP BY tbl, form, leaf""",
     }

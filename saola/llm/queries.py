@@ -54,16 +54,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_copies(spark: SparkSession, sf: str) -> DataFrame:
-    """One record for each text of a table, and its number of copies."""
+    """One record for each text of a table, with its root digest and its number of copies."""
     texts = _texts(spark, sf, ("training_data", "row_id", "input_text"), ("log_items", "log_id", "input_text")).withColumn("id", F.col("record_id").cast("bigint"))
     return copies.copy_counts(texts, "id", "text", "tbl").withColumnRenamed("part", "tbl")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return likeness.alike_across(
+    alike = likeness.alike_across(
         table(spark, sf, "training_data"), "row_id", F.col("corrected"),
         table(spark, sf, "evaluation_data"), "eval_id", [F.col("correction_target"), F.col("error_sentence")],
-    ).select("row_id", "eval_id")
+    )
+    return alike.rows().select(F.col("left_key").alias("row_id"), F.col("right_key").alias("eval_id"))
 
 
 def p3_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +78,14 @@ def typed(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.coalesce("input_text", F.regexp_replace("detected", "</?error>", "")).alias("text"))
 
 
+def _near_copies(spark: SparkSession, sf: str) -> likeness.Alike:
+    return likeness.alike_within(typed(table(spark, sf, "training_data")), "row_id", F.col("text"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return likeness.alike_within(typed(table(spark, sf, "training_data")), "row_id", F.col("text")).select("id_a", "id_b")
+    """The pairs of rows, as asked; the operator itself gives pairs of classes and the rows of each."""
+    a, b = F.col("left_key"), F.col("right_key")
+    return _near_copies(spark, sf).rows().where(a != b).select(F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).distinct()
 
 
 def _texts(spark: SparkSession, sf: str, *sources: tuple[str, str, str]) -> DataFrame:
@@ -117,7 +124,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that have near copies, with the group they fall in and their number of links."""
-    return likeness.linked_groups(p5_found(spark, sf), "id_a", "id_b").withColumnRenamed("id", "row_id")
+    return likeness.linked_groups(_near_copies(spark, sf)).withColumnRenamed("id", "row_id")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
