@@ -64,7 +64,7 @@ def quality(df: DataFrame, text_col: str, common: list[str], function: list[str]
         .withColumn("_del", F.expr(r"regexp_count(_t, '[|;\\t]|\\S {2,}\\S|\\.{4,}|,(?=\\S)')"))
         .withColumn("_com2", F.expr("regexp_count(_t, '[,;] | [/-] ')"))
         .withColumn("_parts", F.expr(r"filter(split(_t, '[;|\\r\\n]+'), l -> trim(l) <> '')"))
-        .withColumn("_fields", F.expr(r"size(filter(_parts, l -> l rlike '^\\s*\\p{L}[\\p{L} ]{1,24}[:=](?!//)'))")).withColumn("_parts", F.size("_parts"))
+        .withColumn("_fields", F.expr(r"size(filter(_parts, l -> l rlike '^\\s*\\p{L}[\\p{L} ]*[:=](?!//)'))")).withColumn("_parts", F.size("_parts"))
         .withColumn("_mix", F.expr("regexp_count(_t, '[A-Za-z][0-9]|[0-9][A-Za-z]')"))
         .withColumn("_end", F.expr(r"size(filter(_lines, l -> l rlike '[.!?…,;:)”\"]\\s*$'))"))
         .withColumn("_bul", F.expr(f"size(filter(_lines, l -> l rlike '{bullet}'))"))
@@ -164,32 +164,38 @@ def induce(x: dict[str, np.ndarray], y: np.ndarray, order: list[str], seed: int
     return rules
 
 
-#: Forms are meant to be read, whatever their shape: three or more named fields that make up most parts.
-FORM = "fields >= 3D AND field_share > 0.6D"
-
-
 def case_sql(rules: list[Rule], rest: str) -> str:
     """The rule list as a SQL CASE over the figures."""
     whens = " ".join(f"WHEN {r.sql()} THEN '{r.label}'" for r in rules)
-    return f"CASE WHEN words IS NULL THEN NULL WHEN words = 0 AND symbol_ratio = 0 THEN 'empty' WHEN {FORM} THEN 'form' {whens} ELSE '{rest}' END"
+    return f"CASE WHEN words IS NULL THEN NULL WHEN words = 0 AND symbol_ratio = 0 THEN 'empty' {whens} ELSE '{rest}' END"
 
 
-def errors(rules: list[Rule], x: dict[str, np.ndarray], y: np.ndarray, rest: str = "prose") -> int:
-    """Rows that the rules put on the wrong side of prose."""
-    found = np.zeros(len(y), bool)
+def judged(rules: list[Rule], x: dict[str, np.ndarray], n: int, rest: str) -> np.ndarray:
+    """The label of every row by the first rule that covers it."""
+    out, live = np.full(n, rest, object), np.ones(n, bool)
     for r in rules:
-        found |= r.covers(x)
-    return int((found != (y != rest)).sum())
+        hit = live & r.covers(x)
+        out[hit], live[hit] = r.label, False
+    return out
+
+
+def errors(rules: list[Rule], x: dict[str, np.ndarray], y: np.ndarray, rest: str = "prose", read: tuple[str, ...] = ("form",)) -> int:
+    """Rows that the rules put on the wrong side of what is meant to be read: prose and forms."""
+    meant = (rest, *read)
+    return int((np.isin(judged(rules, x, len(y), rest), meant) != np.isin(y, meant)).sum())
 
 
-#: Random splits into growing and pruning rows that are tried; the rule list with the fewest errors is kept.
-SPLITS = 12
+#: Random splits into growing and pruning rows that are tried; the rule list with the fewest errors on rows that took no
+#: part in either is kept.
+SPLITS, HELD_OUT = 12, 0.25
 
 
 def fit(samples: DataFrame, common: list[str], function: list[str]) -> list[Rule]:
     """Rules from labelled documents (text, label), a sample of bounded size."""
-    rows = quality(samples, "text", common, function).where(f"NOT ({FORM})").select("label", *FEATURES).toPandas().sort_values(["label", *FEATURES])
+    rows = quality(samples, "text", common, function).select("label", *FEATURES).toPandas().sort_values(["label", *FEATURES])
     x = {f: rows[f].to_numpy(float) for f in FEATURES}
     y = rows["label"].to_numpy()
-    tried = [induce(x, y, ["junk", "table", "list"], seed) for seed in range(SPLITS)]
-    return min(tried, key=lambda rules: (errors(rules, x, y), len(rules)))
+    out = np.random.default_rng(0).random(len(y)) < HELD_OUT
+    seen, held = ({f: v[k] for f, v in x.items()} for k in (~out, out))
+    tried = [induce(seen, y[~out], ["form", "junk", "table", "list"], seed) for seed in range(SPLITS)]
+    return min(tried, key=lambda rules: (errors(rules, held, y[out]), len(rules)))

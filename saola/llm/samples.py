@@ -1,16 +1,16 @@
 """Labelled documents for the quality rules, made from clean sentences by seeded templates.
 
 Prose comes as it is and in the ways in which prose stays prose: misspelt, unaccented, in capitals,
-wrapped, numbered, garbled, disguised, with a formula, a link or an emoji. Lists, tables and junk are
-made from phrases of the sentences, digits and random characters. Forms count as prose here, because
-they are meant to be read.
+wrapped, numbered, garbled, disguised, with a formula, a link or an emoji. Forms are fields with phrases
+for names. Lists, tables and junk are drawn from a few free parameters (marks, joints, kinds of
+characters, numbers of cells), not from templates of any known kind of junk.
 """
 
 from __future__ import annotations
 
-import base64
-import json
 import random
+import re
+import string
 import unicodedata
 
 from .encoding import legacy, multibyte
@@ -54,7 +54,14 @@ def _garble(text: str, r: random.Random, inverse: dict[str, dict[str, str]]) ->
 
 def _prose(s: list[str], r: random.Random, inverse: dict) -> str:
     text = r.choice(s) if r.random() < 0.6 else r.choice([" ", "\n", ". "]).join(r.sample(s, r.randint(2, 3)))
-    way = r.randrange(20)
+    for _ in range(r.choice([1, 1, 2, 2, 3])):
+        text = _written(text, r, inverse)
+    return text
+
+
+def _written(text: str, r: random.Random, inverse: dict) -> str:
+    """Prose in one of the ways in which it stays prose."""
+    way = r.randrange(18)
     if way < 3:
         return text
     if way == 3:
@@ -72,9 +79,11 @@ def _prose(s: list[str], r: random.Random, inverse: dict) -> str:
     if way == 10:
         return "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else "　" if c == " " else c for c in text)
     if way == 11:
-        return f"{r.randint(1, 40)}{r.choice('.):')} " + "\n".join(f"{x}" for x in text.split("\n"))
+        return f"{r.randint(1, 40)}{r.choice('.):')} " + text
     if way == 12:
-        return text + " " + r.choice([f"x² + {r.randint(1, 9)}x = {r.randint(1, 99)}", f"https://{r.randbytes(3).hex()}.example/{r.randbytes(4).hex()}", "👍😀", f"→ Δ = {r.randint(1, 99)}", f"(a + b)/2 ≥ {r.randint(1, 9)}"])
+        # a formula, a link or signs within a sentence
+        k = r.randrange(len(text) + 1)
+        return text[:k] + " " + r.choice([" ".join(_token(r, r.choice(KINDS)) for _ in range(3)), f"https://{_token(r, 'letters')}.org/{_token(r, 'mixed')}", "👍😀"]) + " " + text[k:]
     if way == 13:
         return f"{r.choice('-*+•')} {text}"
     if way == 14:
@@ -82,12 +91,21 @@ def _prose(s: list[str], r: random.Random, inverse: dict) -> str:
     if way == 15:
         return _misspell(_wrap(text, r.randint(24, 60)), r).replace(",", r.choice([",", " ,", "...", " -"]))
     if way == 16:
-        return r.choice(["\"{}\"", "“{}”", "({})", "«{}»", "*{}*", ">>> {}", "([{}])", "--- {} ---", "***{}!!!"]).format(text)
-    names = ["môn", "lớp", "chủ đề", "câu hỏi", "người hỏi", "mục"]
+        mark = "".join(r.choice("\"'()[]*>~-“”«»") for _ in range(r.randint(1, 4)))
+        return f"{mark}{text}{mark[::-1]}"
+    return _misspell(_bare(text), r) if r.random() < 0.5 else _misspell(text.upper(), r)
+
+
+def _form(s: list[str], r: random.Random) -> str:
+    """Named fields, one of them mostly a sentence."""
     eq, part = r.choice([": ", ":", "=", " = "]), r.choice(["\n", "; ", ";", " | "])
-    if r.random() < 0.3:
-        names = [n.upper() if r.random() < 0.5 else n.capitalize() for n in names]
-    return part.join(f"{n}{eq}{text if n.lower() == 'câu hỏi' else _phrase(s, r)}" for n in r.sample(names, len(names)))
+    case = r.choice([str.lower, str.lower, str.upper, str.capitalize])
+    clean = lambda t: re.sub(r"[;|:=\n]", " ", t)
+    n = r.randint(3, 8)
+    values = [_phrase(s, r) for _ in range(n)]
+    if r.random() < 0.7:
+        values[r.randrange(n)] = r.choice(s)
+    return part.join(f"{case(clean(_phrase(s, r, 3)))}{eq}{clean(v)}" for v in values)
 
 
 def _phrase(s: list[str], r: random.Random, most: int = 5, least: int = 1) -> str:
@@ -97,59 +115,83 @@ def _phrase(s: list[str], r: random.Random, most: int = 5, least: int = 1) -> st
     return " ".join(w[k : k + n])
 
 
+SIGNS = string.punctuation
+KINDS = ("letters", "digits", "signs", "mixed", "one")
+ALPHABETS = {"letters": string.ascii_lowercase, "digits": string.digits, "mixed": string.ascii_letters + string.digits}
+
+
+def _token(r: random.Random, kind: str, most: int = 10) -> str:
+    """A random string of one kind of character."""
+    n = r.randint(1, most)
+    if kind == "one":
+        return r.choice(string.ascii_letters + SIGNS) * n
+    if kind == "signs":
+        return "".join(r.choice(SIGNS) for _ in range(min(n, 4)))
+    return "".join(r.choice(ALPHABETS[kind]) for _ in range(n))
+
+
 def _list(s: list[str], r: random.Random) -> str:
-    n, mark = r.randint(3, 16), r.choice(["- ", "* ", "+ ", "• ", "{}. ", "{}) ", "{}/ ", "({}) ", "", "", "", "[ ] "])
-    # short items, or items as long as the lines of wrapped prose
-    least, most = r.choice([(1, 4), (1, 6), (2, 6), (4, 8), (5, 9)] if mark else [(1, 3), (1, 4), (2, 5)])
-    items = [mark.replace("{}", str(k + 1)) + _phrase(s, r, most, least) for k in range(n)]
-    if r.random() < 0.35:
-        return r.choice(["", "", "Danh sách: ", "Gồm: "]) + r.choice(["; ", ", ", " / ", " - "]).join(_phrase(s, r, r.choice([3, 5])) for _ in range(n + 3))
-    if r.random() < 0.2:
-        dots = r.choice([" ........ ", "\t", " -- ", " … ", "  "])
-        items = [f"{_phrase(s, r, r.choice([4, 7]), r.choice([1, 3]))}{r.choice([dots, dots, ' -- ', ' … '])}{r.randint(1, 400)}" for _ in range(n)]
+    """Short items, each with a mark or a number or neither, in lines or in a row; or items that lead to a number."""
+    n, sign = r.randint(3, 16), r.choice(SIGNS)
+    least, most = r.choice([(1, 3), (1, 4), (1, 6), (2, 6), (4, 8), (5, 9)])
+    shape = r.random()
+    if shape < 0.3:
+        least, most = r.choice([(1, 3), (1, 5)])
+        lead = f"{_phrase(s, r, 3)}: " if r.random() < 0.3 else ""
+        return lead + r.choice([f"{sign} ", f" {sign} ", ", ", "; "]).join(_phrase(s, r, most, least) for _ in range(n + 3))
+    if shape < 0.5:
+        gap = r.choice([" " * r.randint(2, 6), "\t", f" {r.choice('.-_…') * r.randint(1, 10)} "])
+        items = [f"{_phrase(s, r, 7)}{gap}{r.randint(1, 10 ** r.randint(1, 4))}" for _ in range(n)]
+    else:
+        mark = r.choice([lambda k: f"{sign} ", lambda k: f"{k}{sign} ", lambda k: f"{k}. ", lambda k: f"{sign}{k} ", lambda k: ""])
+        if mark(1) == "":
+            most = min(most, 5)
+        items = [mark(k + 1) + _phrase(s, r, most, min(least, most)) for k in range(n)]
     text = "\n".join(items)
     return r.choice([text, text, text, _bare(text), text.upper()])
 
 
 def _table(s: list[str], r: random.Random) -> str:
-    sep, cols = r.choice([";", ",", "\t", " | ", "   ", "|"]), r.randint(2, 6)
-    head = [["stt", "họ tên", *r.sample(["điểm miệng", "điểm viết", "trung bình", "ghi chú", "lớp", "năm"], cols - 1)]] if r.random() < 0.7 else []
-    number = lambda: r.choice([f"{r.uniform(0, 100):.2f}", str(r.randint(0, 999)), f"{r.uniform(0, 10):.1f}"])
-    rows = head + [[str(k + 1), _phrase(s, r, 3), *(number() for _ in range(cols - 1))] for k in range(r.randint(3, 12))]
-    return "\n".join(sep.join(x) for x in rows)
+    """Rows of equally many cells: numbers, short texts or nothing; some with a line of headings or rules."""
+    sep = r.choice([r.choice("|;,\t/"), f" {r.choice('|;/')} ", " " * r.randint(2, 5), "\t"])
+    cols = r.randint(2, 7)
+    number = lambda: r.choice([f"{r.uniform(0, 10 ** r.randint(1, 3)):.{r.randint(1, 2)}f}", str(r.randint(0, 10 ** r.randint(1, 4)))])
+    kinds = [r.choice(["text", "number", "number"]) for _ in range(cols)]
+    cell = lambda kind: "" if r.random() < 0.03 else number() if kind == "number" else _phrase(s, r, 3)
+    rows = [[cell(k) for k in kinds] for _ in range(r.randint(3, 14))]
+    if r.random() < 0.6:
+        rows.insert(0, [_phrase(s, r, 2) for _ in range(cols)])
+    lines = [sep.join(x) for x in rows]
+    if r.random() < 0.15:
+        lines.insert(1, r.choice("-=_+") * r.randint(6, 40))
+    return "\n".join(lines)
 
 
 def _junk(s: list[str], r: random.Random) -> str:
-    kind = r.randrange(12)
-    word = lambda a, b: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(a, b)))
-    h = lambda n: r.randbytes(n).hex()
-    if kind == 0:
-        return h(r.randint(30, 120))
-    if kind == 1:
-        return base64.b64encode(r.randbytes(r.randint(40, 150))).decode()
-    if kind == 2:
-        return json.dumps({h(3)[:5]: r.choice([round(r.uniform(0, 99), 2), [round(r.uniform(0, 99), 2), None], h(4)]) for _ in range(r.randint(6, 20))}, separators=r.choice([(",", ":"), (", ", ": ")]))
-    if kind == 3:
-        return "\n".join(f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02} {r.choice(['ERR', 'WARN', 'INFO'])} [{h(3)}] rc={r.randint(0, 255)} 0x{h(4)}" for _ in range(r.randint(3, 12)))
-    if kind == 4:
-        return " ".join(f"{k + 1}{r.choice('ABCD')}" for k in range(r.randint(12, 50)))
-    if kind == 5:
-        return r.choice(["\n", " "]).join(f"https://{h(2)}.example.invalid/{h(3)[:5]}/{h(4)}?id={r.randint(1, 9999)}" for _ in range(r.randint(3, 10)))
-    if kind == 6:
-        return "".join(f'<div class="{h(3)}"><a href="/{h(4)}">{_phrase(s, r, 2)}</a></div>' for _ in range(r.randint(3, 10)))
-    if kind == 7:
-        return " ".join(r.choice("!#$%&*+-/<=>?@\\^_|~") * r.randint(1, 4) + (h(2)[:3] if r.random() < 0.3 else "") for _ in range(r.randint(20, 80)))
-    if kind == 8:
-        return " ".join(word(3, 12) for _ in range(r.randint(4, 22)))
-    if kind == 9:
-        return r.choice([", ", "\n", " ", "; "]).join(str(r.randint(1, 10 ** r.randint(1, 7))) for _ in range(r.randint(12, 50)))
-    if kind == 10:
-        return " ".join([f"{_phrase(s, r, 6)} {_phrase(s, r, 6)}{r.choice(['', f' {r.randint(1, 99999)}'])}"] * r.randint(4, 14))
-    return r.choice([word(2, 4) * r.randint(12, 40), " ".join([r.choice("abcxyz?!.") * r.randint(3, 30) for _ in range(r.randint(3, 12))])])
+    """Strings that no one reads: random tokens of a few kinds with random joints, numbers, unbroken strings, wrapped
+    tokens and things said over and over."""
+    shape = r.randrange(6)
+    if shape == 0:
+        return _token(r, r.choice(["letters", "digits", "mixed", "mixed", "one"]), 200) + _token(r, "mixed", 40)
+    if shape == 1:
+        short = r.choice([_token(r, r.choice(KINDS), 4), _phrase(s, r, 2), _phrase(s, r, 6, 3), r.choice(s)])
+        return r.choice([" ", "", "\n", ", "]).join([short] * r.randint(4, 30))
+    if shape == 2:
+        return r.choice([" ", ", ", "\n", "; "]).join(_token(r, "digits", r.choice([2, 4, 8])) for _ in range(r.randint(10, 60)))
+    if shape == 3:
+        return " ".join(_token(r, "letters", 13) for _ in range(r.randint(4, 40)))
+    kinds = r.sample(KINDS, r.randint(1, 3))
+    joints = [r.choice([" ", "\n", r.choice(SIGNS), r.choice(SIGNS) * 2, r.choice(SIGNS) + " "]) for _ in range(r.randint(1, 4))]
+    ends = r.choice(["", "", "<>", "{}", "[]", '""', "()"])
+    out = []
+    for k in range(r.randint(8, 70)):
+        t = _token(r, r.choice(kinds), r.choice([3, 8, 14])) if r.random() < 0.9 else _phrase(s, r, 1)
+        out.append((ends[0] + t + ends[1] if ends and r.random() < 0.6 else t) + joints[k % len(joints)])
+    return "".join(out)
 
 
 def labelled(sentences: list[str], seed: int = 11, per_label: int = PER_LABEL) -> list[tuple[str, str]]:
-    """(text, label) rows, 3 * per_label of prose and per_label each of list, table and junk."""
+    """(text, label) rows, 3 * per_label of prose and per_label each of form, list, table and junk."""
     r = random.Random(seed)
     s = sorted({x for x in sentences if x and len(x.split(" ")) >= 8 and "\n" not in x})
     if not s:
@@ -162,9 +204,5 @@ def labelled(sentences: list[str], seed: int = 11, per_label: int = PER_LABEL) -
     for p, table in legacy().items():
         inverse[p] = {c: g for g, c in table.items()}
     inverse = {p: t for p, t in inverse.items() if p in ("cp1252", "cp1252 twice", "latin-1", "cp1258", "mac_roman", "cp437", "tcvn3", "vni", "cp1258 bytes")}
-    return (
-        [(_prose(s, r, inverse), "prose") for _ in range(3 * per_label)]
-        + [(_list(s, r), "list") for _ in range(per_label)]
-        + [(_table(s, r), "table") for _ in range(per_label)]
-        + [(_junk(s, r), "junk") for _ in range(per_label)]
-    )
+    made = {"form": _form, "list": _list, "table": _table, "junk": _junk}
+    return [(_prose(s, r, inverse), "prose") for _ in range(3 * per_label)] + [(make(s, r), k) for k, make in made.items() for _ in range(per_label)]
