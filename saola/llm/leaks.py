@@ -6,69 +6,106 @@ words of its passage stand in it, where scattered words may be misspelt and spac
 Method: a set join on shingles of SHINGLE words. Misspelt words part the exact ones into runs; as RIGHT of the
 held words are exact, a held stretch has a window of LEAST words that shares OVERLAP pairs of neighbouring words
 with the document (e exact of n words leave at least 2 e - n - 1 pairs: 7 of 20 words; longer stretches are covered
-by windows, of which one has 5 or more). A window is found through its rarest pairs, all but OVERLAP - 1. Hits bring the positions in document and passage; those with HINT words that agree on their diagonal or
-beside it go on (a stretch with several words split or joined can fall short of it). Each document and item is
-then verified whole, by aligning the passage with the words around the hits (the positional bound) and looking
-for LEAST held words in a row.
-
-The items are a stated query set; they are taken in blocks of BLOCK shingles, each compared with every
-document in one pass without a shuffle. Null and empty texts hold nothing, items shorter than LEAST are
-never held.
+by windows, of which one has 5 or more). A window is found through its rarest pairs, all but OVERLAP - 1. Hits bring
+the positions in document and passage; those with HINT words that agree on their diagonal or beside it within LEAST
+words go on (a stretch with several words split or joined can fall short of it). Each document and item is then
+verified whole, by aligning the passage with the words around the hits (the positional bound) and looking for LEAST
+held words in a row.
+
+Texts are numbered by the items' words once and staged; the shingles of the items are counted in the whole corpus, so
+rare means rare there. The items are a stated query set: they come to the driver in blocks of BLOCK words, each compared
+with every document without a shuffle. Null and empty texts hold nothing, items shorter than LEAST are never held.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.vocabulary import common_length
-from .encoding import letters
+from .common import stage
 
 #: Words in a row that make a leak, words of a shingle, shingles that a window must share, words compared
 #: beyond a hit, share of held words that must be right, likeness of a misspelt stretch.
 LEAST, SHINGLE, OVERLAP, MARGIN, RIGHT, MISSPELT = 20, 2, 5, 12, 0.7, 0.6
-#: Words that must agree within LEAST words on either side of a hit before the texts are aligned.
-HINT = 9
-#: Item shingles (16 bytes each) that go to the workers at once.
-BLOCK = 500_000
+#: Words that must agree within LEAST words that hold a hit before the texts are aligned.
+HINT = 11
+#: Item words that go to the workers at once; spellings that a task remembers.
+BLOCK, SPELLINGS = 500_000, 500_000
 #: Hits whose surroundings are compared at once.
 HITS = 50_000
 
 
-def bare_text(text: Column) -> Column:
-    """Lower-case words without accents, whatever their encoding, with single spaces."""
-    source = "".join(c for c in letters() if c.islower())
-    flat = "".join("d" if c == "đ" else unicodedata.normalize("NFD", c)[0] for c in source)
-    low = F.translate(F.regexp_replace(F.lower(text), r"[\p{M}\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}]+", ""), source, flat)
-    return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
+def fold(word: str) -> str:
+    """A word without accents, in lower case."""
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower().replace("đ", "d")) if not unicodedata.combining(c))
+
+
+#: Characters that stand inside words without being letters.
+INSIDE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+WORD = re.compile(r"[^\W_]+")
+
+
+def bare_words(text: str | None) -> list[str]:
+    """Words of a text in lower case, their letters composed; fold takes off the accents."""
+    if not text:
+        return []
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", INSIDE.sub("", text) if INSIDE.search(text) else text)
+    return WORD.findall(text.lower())
+
+
+class Vocabulary:
+    """Numbers of the folded words of the items; other words are -1. Up to SPELLINGS spellings are remembered."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words, self.seen, self.flat = words, {}, {}
+
+    def numbers(self, words: list[str]) -> list[int]:
+        seen = self.seen
+        if len(seen) > SPELLINGS:
+            seen.clear()
+        out = [seen.get(w) for w in words]
+        if None in out:
+            known = self.words
+            for k, n in enumerate(out):
+                if n is None:
+                    w = words[k]
+                    out[k] = seen[w] = known.get(fold(w), -1)
+        return out
 
+    def folded(self, words: list[str]) -> list[str]:
+        flat = self.flat
+        if len(flat) > SPELLINGS:
+            flat.clear()
+        return [flat.get(w) or flat.setdefault(w, fold(w)) for w in words]
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the SHINGLE words from each position of an array of word hashes."""
-    n = max(0, len(words) - SHINGLE + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n].view(np.uint64)
-        out ^= out >> np.uint64(29)
-    return out
 
+def shingles(numbers: np.ndarray, size: int) -> np.ndarray:
+    """The pair of words from each position as one number, -1 where one of them is no item word."""
+    a, b = numbers[:-1], numbers[1:]
+    return np.where((a >= 0) & (b >= 0), a * np.int64(size) + b, np.int64(-1))
 
-def prefix_shingles(items: list[tuple[int, list[str], list[int]]]) -> dict[int, list[tuple[int, int]]]:
-    """shingle -> [(item index, position)] for the shingles that some window needs to look up."""
-    df = Counter(h for _, _, hs in items for h in set(hs))
+
+def prefix_shingles(items: list[np.ndarray], rarity: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+    """shingle -> [(item index, position)] for the shingles that some window needs to look up: all but the OVERLAP - 1
+    that are the most frequent in the corpus."""
     per = LEAST - SHINGLE + 1
     table: dict[int, set[tuple[int, int]]] = defaultdict(set)
-    for k, (_, _, hs) in enumerate(items):
+    for k, item in enumerate(items):
+        hs = item.tolist()
+        rank = [(rarity.get(h, 0), h, p) for p, h in enumerate(hs)]
         for a in range(len(hs) - per + 1):
-            order = sorted(range(a, a + per), key=lambda p: (df[hs[p]], hs[p]))
-            for p in order[: per - OVERLAP + 1]:
-                table[hs[p]].add((k, p))
+            for _, h, p in sorted(rank[a : a + per])[: per - OVERLAP + 1]:
+                table[h].add((k, p))
     return {h: sorted(v) for h, v in table.items()}
 
 
@@ -121,89 +158,166 @@ def longest_held(doc: list[str], passage: list[str], spots: list[tuple[int, int]
     return best
 
 
+@dataclass(frozen=True)
+class Block:
+    """Items that are looked up at once, as (id, folded words), and the numbers of their words."""
+
+    items: list[tuple[object, list[str]]]
+    words: dict[str, int]
+
+    @staticmethod
+    def of(items: list[tuple[object, list[str]]]) -> Block:
+        return Block(items, {w: n for n, w in enumerate(sorted({w for _, ws in items for w in ws}))})
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.array([self.words[w] for w in words], np.int64)
+
+
+def blocks(items: DataFrame) -> Iterator[Block]:
+    """Blocks of at most BLOCK words (one item at least) of items(i, text), one at a time on the driver."""
+    held: list[tuple[object, list[str]]] = []
+    size = 0
+    for row in items.toLocalIterator():
+        words = [fold(w) for w in bare_words(row["text"])]
+        if len(words) < LEAST:
+            continue
+        if held and size + len(words) > BLOCK:
+            yield Block.of(held)
+            held, size = [], 0
+        held.append((row["i"], words))
+        size += len(words)
+    if held:
+        yield Block.of(held)
+
+
 def leaked(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, passage_col: str) -> DataFrame:
     """(doc_id, item_id, words): documents with the items they hold and the longest held run of words."""
-    hashes = F.transform(F.split("w", " "), lambda w: F.xxhash64(w)).alias("h")
-    got = (
-        items.select(F.col(item_id).alias("i"), bare_text(F.col(passage_col)).alias("w")).where("w IS NOT NULL").distinct()
-        .select("i", "w", hashes).collect()
-    )
-    all_items = [(r["i"], r["w"].split(" "), np.array(r["h"], np.int64)) for r in got if len(r["h"]) >= LEAST]
-    prepared = docs.select(F.col(doc_id).alias("d"), bare_text(F.col(text_col)).alias("w")).where("w <> ''").select("d", "w", hashes)
     kinds = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     schema = f"{doc_id} {kinds[0]}, {item_id} {kinds[1]}, words int"
-    blocks: list[list] = [[]]
-    for it in all_items:
-        if blocks[-1] and sum(len(x[2]) for x in blocks[-1]) + len(it[2]) > BLOCK:
-            blocks.append([])
-        blocks[-1].append(it)
+    texts = docs.select(F.col(doc_id).alias("d"), F.col(text_col).alias("w")).where("w <> ''")
+    queries = items.select(F.col(item_id).alias("i"), F.col(passage_col).alias("text")).where("text IS NOT NULL").distinct()
     out = None
-    for block in blocks:
-        one = prepared.mapInArrow(_finder(block), schema)
+    for block in blocks(queries):
+        numbered = stage(texts.mapInArrow(_numberer(block.words), f"d {kinds[0]}, w string, n array<smallint>" if len(block.words) < 32_000 else f"d {kinds[0]}, w string, n array<int>"), "numbered")
+        # as many rows as the block has shingles
+        counts = numbered.select("n").mapInArrow(_counter(block), "shingle bigint, many bigint").groupBy("shingle").agg(F.sum("many").alias("many"))
+        rarity = {r["shingle"]: r["many"] for r in counts.collect()}
+        one = numbered.mapInArrow(_finder(block, rarity), schema)
         out = one if out is None else out.unionByName(one)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _finder(items: list[tuple[object, list[str], np.ndarray]]):
-    table = prefix_shingles([(n, w, shingles(h).tolist()) for n, w, h in items])
-    keys = np.array(sorted(table), np.uint64)
+def _numberer(words: dict[str, int]):
+    """Texts with the number of each word."""
+    kind = pa.int16() if len(words) < 32_000 else pa.int32()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(words)
+        for batch in batches:
+            flat: list[int] = []
+            ends = [0]
+            for text in batch.column(1):
+                flat += vocabulary.numbers(bare_words(text.as_py()))
+                ends.append(len(flat))
+            n = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32), pa.int32()).cast(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["d", "w", "n"])
+
+    return run
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of lists with a -1 behind each list, and where each list starts."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(int(starts[-1]), -1, np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    out[np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
+    return out, starts[:-1]
+
+
+def _counter(block: Block):
+    """How often each shingle of the items stands in the texts of a task."""
+    size = len(block.words)
+    keys = np.unique(np.concatenate([shingles(block.numbers(ws), size) for _, ws in block.items]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            flat, _ = _flat(batch.column(0))
+            if len(flat) > 1:
+                got = shingles(flat, size)
+                got = got[got >= 0]
+                where = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
+                many += np.bincount(where[keys[where] == got], minlength=len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(many)], ["shingle", "many"])
+
+    return run
+
+
+def _finder(block: Block, rarity: dict[int, int]):
+    size = len(block.words)
+    numbers = [block.numbers(ws) for _, ws in block.items]
+    table = prefix_shingles([shingles(h, size) for h in numbers], rarity)
+    keys = np.array(sorted(table), np.int64)
     counts = np.array([len(table[int(k)]) for k in keys], np.int64)
-    starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     spots = np.array([x for k in keys for x in table[int(k)]], np.int64).reshape(-1, 2)
-    names, passages = [x[0] for x in items], [x[1] for x in items]
+    names, passages = [x[0] for x in block.items], [x[1] for x in block.items]
     # all passages in one array, apart by a gap that equals no word
-    gap = np.arange(2 * LEAST + 4, dtype=np.int64)
+    gap = np.full(2 * LEAST + 4, -2, np.int64)
     base, parts, at = [], [gap], len(gap)
-    for _, _, h in items:
+    for h in numbers:
         base.append(at)
         parts += [h, gap]
         at += len(h) + len(gap)
-    flat_items, base = np.concatenate(parts), np.array(base, np.int64)
+    flat_items, base = np.concatenate(parts).astype(np.int32), np.array(base, np.int64)
 
     def near(doc: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Words that agree around each hit, on its diagonal or one beside it."""
-        total = np.zeros(len(p), np.int32)
-        for t in range(1 - LEAST, LEAST):
+        """Most words that agree within LEAST words that hold the hit, on its diagonal or one beside it."""
+        last = len(doc) - 1
+        sums = np.zeros((2 * LEAST, len(p)), np.int8)
+        before, here = doc[np.clip(p - LEAST, 0, last)], doc[np.clip(p + 1 - LEAST, 0, last)]
+        for k, t in enumerate(range(1 - LEAST, LEAST)):
+            after = doc[np.clip(p + t + 1, 0, last)]
             mine = flat_items[q + t]
-            same = np.zeros(len(p), bool)
-            for e in (-1, 0, 1):
-                same |= doc[np.clip(p + t + e, 0, len(doc) - 1)] == mine
-            total += same
-        return total
+            np.add(sums[k], (before == mine) | (here == mine) | (after == mine), out=sums[k + 1])
+            before, here = here, after
+        return (sums[LEAST:] - sums[:LEAST]).max(axis=0, initial=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary({})
         for batch in batches:
-            ids, texts, lists = batch.column(0), batch.column(1), batch.column(2)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy())
-            first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
+            ids, texts = batch.column(0), batch.column(1)
+            flat, first = _flat(batch.column(2))
             found: tuple[list, list, list] = ([], [], [])
-            if len(flat) >= SHINGLE and len(keys):
-                got = shingles(flat)
-                where = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-                hit = np.flatnonzero(keys[where] == got)
+            if len(flat) > 1:
+                got = shingles(flat, size)
+                hit = np.flatnonzero(got >= 0)
+                where = np.minimum(np.searchsorted(keys, got[hit]), len(keys) - 1)
+                same = keys[where] == got[hit]
+                hit, where = hit[same], where[same]
+                small = flat.astype(np.int32)
                 # a common pair stands at many places: a bounded number of hits at a time
-                ends = np.cumsum(counts[where[hit]])
+                ends = np.cumsum(counts[where])
                 cuts = np.searchsorted(ends, np.arange(HITS, ends[-1], HITS)) if len(hit) else []
                 kept = [(np.zeros(0, np.int64),) * 3]
-                for some in np.split(hit, cuts):
-                    k = where[some]
+                for some, k in zip(np.split(hit, cuts), np.split(where, cuts)):
                     many = counts[k]
                     p = np.repeat(some, many)
                     s = np.repeat(starts[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
                     item, q = spots[s, 0], spots[s, 1]
-                    good = near(flat, p, base[item] + q) >= HINT
+                    good = near(small, p, base[item] + q) >= HINT
                     kept.append((p[good], item[good], q[good]))
                 p, item, q = (np.concatenate(x) for x in zip(*kept))
                 row = np.searchsorted(first, p, side="right") - 1
                 todo: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
                 for r, i, a, b in zip(row.tolist(), item.tolist(), (p - first[row]).tolist(), q.tolist()):
                     todo[r, i].append((a, b))
-                words: dict[int, list[str]] = {}
+                words: tuple[int, list[str]] = (-1, [])
                 for (r, i), hits in todo.items():
-                    if r not in words:
-                        words = {r: texts[r].as_py().split(" ")}
-                    if n := longest_held(words[r], passages[i], hits):
+                    if r != words[0]:
+                        words = r, vocabulary.folded(bare_words(texts[r].as_py()))
+                    if n := longest_held(words[1], passages[i], hits):
                         found[0].append(ids[r].as_py())
                         found[1].append(names[i])
                         found[2].append(n)
