@@ -18,7 +18,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,7 +150,7 @@ SYLLABLE = re.compile(
 WORD = re.compile(r"[^\s.,;:!?()\"'/\-]+")
 
 
-@cache
+@lru_cache(200_000)
 def syllable(word: str) -> bool:
     """Has the shape of a Vietnamese syllable with a letter beyond ASCII."""
     if word.isascii() or not (word.islower() or word.isupper() or word[1:].islower()):
@@ -186,24 +186,39 @@ def _decode_legacy(text: str) -> tuple[str, str] | None:
     return best and best[1:]
 
 
+def _restore(text: str, pair: str, found: list[tuple]) -> str:
+    """The matched spans of one pair replaced, the longest at a place first."""
+    out, at = [], 0
+    for start, end, g, pairs, _ in sorted((f for f in found if pair in f[3]), key=lambda f: (f[0], -f[1])):
+        if start >= at and pairs[pair]:
+            out += [text[at:start], pairs[pair]]
+            at = end
+    return "".join(out) + text[at:]
+
+
 def repair(text: str | None) -> tuple[bool, str | None, str | None]:
-    """(garbled, restored text or None, pair)."""
+    """(garbled, restored text or None, pairs). Parts that were garbled in different ways are restored one after
+    another, the pair that explains most first; every step leaves a shorter text, so they end."""
     if not text or text.isascii():
         return False, None, None
-    found = [(end - len(g) + 1, end + 1, g, pairs, weak) for end, (g, pairs, weak) in automaton().iter(text)]
-    if any(not f[4] for f in found):
+    fixed, used = text, []
+    while True:
+        found = [(end - len(g) + 1, end + 1, g, pairs, weak) for end, (g, pairs, weak) in automaton().iter(fixed)]
+        if not any(not f[4] for f in found):
+            break
         score: dict[str, int] = defaultdict(int)
         for _, _, g, pairs, _ in found:
             for p, c in pairs.items():
                 score[p] += len(g) * (2 if c else 1)
-        pair = max(score, key=lambda p: (score[p], -PAIRS.index(p)))
-        out, at = [], 0
-        for start, end, g, pairs, _ in sorted((f for f in found if pair in f[3]), key=lambda f: (f[0], -f[1])):
-            if start >= at and pairs[pair]:
-                out += [text[at:start], pairs[pair]]
-                at = end
-        fixed = "".join(out) + text[at:]
-        return True, fixed if fixed != text else None, pair
+        # pairs whose spans can't be restored change nothing
+        steps = ((p, _restore(fixed, p, found)) for p in sorted(score, key=lambda p: (-score[p], PAIRS.index(p))))
+        pair, better = next(((p, t) for p, t in steps if t != fixed), (None, fixed))
+        if pair is None:
+            used = used or [max(score, key=lambda p: (score[p], -PAIRS.index(p)))]
+            break
+        used, fixed = [*used, pair], better
+    if used:
+        return True, fixed if fixed != text else None, " + ".join(used)
     if "�" in text or re.search("[\x80-\x9f]", text):
         return True, None, "lost"
     if hit := _decode_legacy(text):

@@ -30,8 +30,8 @@ CODES = {"vie": "vi", "eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger":
 CUT = re.compile(r"(?P<s>(?:[.!?…;]+[\"”»)]*(?=\s|$)|[\n\r\t|]|\s[-–—/•*]+\s)+)|[,:](?=\s)")
 #: Gap to its sentence's language that a clause needs to stand apart.
 APART = 0.15
-#: Words that are compared at once; bounds a task's memory.
-CHUNK = 60_000
+#: Words that are compared at once, and spellings that a task remembers; they bound its memory.
+CHUNK, SPELLINGS = 60_000, 200_000
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -94,7 +94,7 @@ class Profiles:
         lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(lead, len(key)))
         seg, gram = np.divmod(key[lead], len(self.ids))
-        order = np.argsort(seg * 256 + (255 - np.minimum(count, 255)), kind="stable")
+        order = np.lexsort((-count, seg))
         gram = gram[order]
         first = np.searchsorted(seg, np.arange(n))
         many = np.append(first[1:], len(seg)) - first
@@ -114,6 +114,8 @@ class Profiles:
 
     def judge(self, clauses: list[list[str]], sentence: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(language, confidence) of each clause; sentence: the sentence of each, ascending."""
+        if len(self.rows) > SPELLINGS:
+            self.cache, self.rows, self.size = {}, [], np.zeros(0, np.int64)
         n, size = len(clauses), np.array([len(c) for c in clauses])
         cache, word = self.cache, self.word
         index = np.fromiter((k if (k := cache.get(w)) is not None else word(w) for c in clauses for w in c), np.int64, int(size.sum()))

@@ -52,14 +52,14 @@ class Share:
     repeats: float
 
 
-def fill(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | None = None) -> list[Share]:
-    """Repeats of each source. targets: (source, share, cap). total: tokens of the mixture, by default the
-    most for which every share can be met; never more than the caps allow."""
+def fill(targets: list[tuple[str, float, int]], tokens: dict[str, int], total: float | str | None = None) -> list[Share]:
+    """Repeats of each source. targets: (source, share, cap). total: tokens of the mixture, by default as many as the
+    sources hold, or "met": the most for which every share can be met; never more than the caps allow."""
     live = {s: (w, c) for s, w, c in targets if tokens.get(s, 0) > 0 and w > 0}
     most = sum(c * tokens[s] for s, (_, c) in live.items())
     weights = sum(w for w, _ in live.values())
     met = min((c * tokens[s] * weights / w for s, (w, c) in live.items()), default=0.0)
-    size = min(float(total if total is not None else met), float(most))
+    size = min(float(sum(tokens[s] for s in live) if total is None else met if total == "met" else total), float(most))
     amount: dict[str, float] = {}
     while live:
         weight = sum(w for w, _ in live.values())
@@ -83,7 +83,7 @@ def draw(seed: int, key: str) -> Column:
 def mixture(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets: list[tuple[str, float, int]], seed: int = 42, total: float | str | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[Share]]:
     """(id, source, tokens, copy) of the mixture, and the plan. targets is a list of bounded size.
 
-    total: tokens of the mixture (see fill), or "all" for as many as the sources hold."""
+    total: tokens of the mixture (see fill)."""
     names = [t[0] for t in targets]
     sized = stage(
         token_counts(docs.where(F.col(source_col).isin(names)), text_col, tokenizer)
@@ -95,7 +95,7 @@ def mixture(docs: DataFrame, id_col: str, text_col: str, source_col: str, target
     for r in sized.groupBy("source", "bin").agg(F.sum("tokens").alias("n")).collect():
         sums[r["source"]][r["bin"]] = r["n"]
     tokens = {s: sum(b) for s, b in sums.items()}
-    plan = fill(targets, tokens, sum(tokens.values()) if total == "all" else total)
+    plan = fill(targets, tokens, total)
     copies = F.lit(0)
     for p in plan:
         whole, part = int(p.repeats + 1e-12), (p.repeats - int(p.repeats + 1e-12)) * p.tokens

@@ -142,16 +142,18 @@ def _mix(spark: SparkSession, sf: str, total: str | None = None) -> tuple[DataFr
 
 
 def p8_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """A mixture as large as the corpus: small sources reach their caps, the others make up for them."""
     return _mix(spark, sf)[0]
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares that p8_mixture reaches."""
     return mixture.reached(*_mix(spark, sf))
 
 
-def p8_full_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Shares of a mixture as large as the corpus: small sources reach their caps, the others make up for them."""
-    return mixture.reached(*_mix(spark, sf, "all"))
+def p8_met_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the largest mixture that meets every target."""
+    return mixture.reached(*_mix(spark, sf, "met"))
 
 
 def _samples(spark: SparkSession, sf: str) -> list[tuple[str, str]]:
