@@ -85,16 +85,55 @@ def test_alike_within(spark):
     df = spark.createDataFrame([(i, t, 1, "clash") for i, t in enumerate(rows)], "row_id bigint, text string, words int, tokens string")
     flat = [re.sub(r"[\W_]+", "", (t or "").lower()) for t in rows]
     want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if flat[i] != flat[j] and likeness_of(rows[i], rows[j]) >= 0.6 - 1e-9}
-    got = {(r.id_a, r.id_b) for r in likeness.alike_within(df, "row_id", F.col("text")).collect()}
+    got = within(df)
     assert got <= want and len(got) >= 0.95 * len(want)
-    assert likeness.alike_within(df.limit(0), "row_id", F.col("text")).count() == 0
+    assert not within(df.limit(0))
+
+
+def within(df):
+    return {tuple(sorted((r.left_key, r.right_key))) for r in likeness.alike_within(df, "row_id", F.col("text")).rows().where("left_key <> right_key").collect()}
+
+
+def test_hot_anchors_lose_no_pair(spark, monkeypatch):
+    r = random.Random(6)
+    lead = sentence(r, 7)
+    rows = [f"{lead} {sentence(r, 20)}" for _ in range(60)]
+    rows += [edited(r, t, 0.15) for t in rows] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "row_id bigint, text string")
+    plain = within(df)
+    monkeypatch.setattr(likeness, "HOT_ANCHOR", 20)
+    monkeypatch.setattr(likeness, "SAMPLE", 1)
+    assert within(df) == plain and plain
+
+
+def test_same_words_as_form_and_sentence(spark):
+    df = spark.createDataFrame([(1, "a: b; c: d"), (2, "c = d; a = b"), (3, "a b c d"), (4, "A, b c d!")], "row_id bigint, text string")
+    assert within(df) == {(1, 3), (1, 4), (2, 3), (2, 4)}
 
 
 def test_linked_groups(spark):
     links = [(i, i + 1) for i in range(1, 30)] + [(50, 60), (60, 70), (50, 70), (99, 100)]
-    got = {r.id: (r.group_id, r.links) for r in likeness.linked_groups(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b").collect()}
+    of = spark.createDataFrame([(x, x + 1000 * k) for x in {y for l in links for y in l} for k in range(2 if x == 60 else 1)], "rep bigint, id bigint")
+    got = {r.id: (r.group_id, r.links) for r in likeness.linked_groups(likeness.Alike(spark.createDataFrame(links, "a bigint, b bigint"), of, of)).collect()}
     assert {got[i][0] for i in range(1, 31)} == {1} and got[1][1] == 1 and got[2][1] == 2
-    assert got[70] == (50, 2) and got[100] == (99, 1)
+    assert got[70] == (50, 3) and got[1060] == (50, 2) and got[100] == (99, 1)
+
+
+def test_banded_distances():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    r = random.Random(1)
+    some = lambda: [r.randint(10, 13) for _ in range(r.randint(0, 12))]
+    a, b, most = [some() for _ in range(900)], [some() for _ in range(900)], [r.randint(0, 14) for _ in range(900)]
+    got = likeness.banded([np.array(x, np.int64) for x in a], [np.array(x, np.int64) for x in b], np.array(most))
+    assert got.tolist() == [len(x) + len(y) - 2 * common(x, y) <= k for x, y, k in zip(a, b, most)]
 
 
 def test_alike_across(spark):
@@ -104,10 +143,19 @@ def test_alike_across(spark):
     left = spark.createDataFrame(list(enumerate(train)), "row_id bigint, c string")
     right = spark.createDataFrame([(i, a, b, "x") for i, (a, b) in enumerate(evals)], "eval_id bigint, a string, b string, c string")
     want = {(i, j) for i, t in enumerate(train) for j, e in enumerate(evals) if t and max(likeness_of(t, x) for x in e if x is not None or True) >= 0.6 - 1e-9}
-    got = {(x.row_id, x.eval_id) for x in likeness.alike_across(left, "row_id", F.col("c"), right, "eval_id", [F.col("a"), F.col("b")]).collect()}
+    got = {(x.left_key, x.right_key) for x in likeness.alike_across(left, "row_id", F.col("c"), right, "eval_id", [F.col("a"), F.col("b")]).rows().collect()}
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_alike_across_rotated(spark):
+    r = random.Random(5)
+    train = [sentence(r, 36) for _ in range(30)]
+    turned = [" ".join(t.split()[k:] + t.split()[:k]) for k, t in enumerate(train)]
+    left, right = (spark.createDataFrame(list(enumerate(x)), "id bigint, t string") for x in (train, turned))
+    got = {(x.left_key, x.right_key) for x in likeness.alike_across(left, "id", F.col("t"), right, "id", [F.col("t")]).rows().collect()}
+    assert {(k, k) for k in range(30)} <= got
+
+
 def test_fingerprints_lose_no_pair(spark):
     rows = [t for t in near_rows(9) if t]
     s = likeness.sketch(spark.createDataFrame(list(enumerate(rows)), "id bigint, text string"), "id", F.col("text")).select(F.col("id").alias("rep"), "words", "f0", "f1")
@@ -183,7 +231,7 @@ def test_quality_rules_on_held_out_documents(spark):
     rules = quality.fit(spark.createDataFrame(samples.labelled(clean[:200], seed=1, per_label=400), "text string, label string"), common_words, function)
     held = spark.createDataFrame(samples.labelled(clean[200:], seed=2, per_label=150), "text string, label string")
     got = quality.quality(held, "text", common_words, function).withColumn("kind", F.expr(quality.case_sql(rules, "prose"))).select("label", "kind").collect()
-    assert np.mean([(r.label == "prose") == (r.kind in ("prose", "form")) for r in got]) > 0.96
+    assert np.mean([(r.label in ("prose", "form")) == (r.kind in ("prose", "form")) for r in got]) > 0.94
 
 
 def test_quality_figures(spark):
@@ -257,7 +305,9 @@ def test_leak_blocks(spark, monkeypatch):
 def test_water_filling():
     plan = {p.source: p for p in mixture.fill([("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 5)], {"a": 100, "b": 1000, "c": 10}, 1000)}
     assert plan["a"].repeats == 2 and plan["c"].repeats == 5 and plan["b"].repeats == pytest.approx(0.75)
-    exact = mixture.fill([("a", 0.5, 2), ("b", 0.5, 1)], {"a": 100, "b": 1000})
+    exact = mixture.fill([("a", 0.5, 2), ("b", 0.5, 1)], {"a": 100, "b": 1000}, "met")
+    whole = mixture.fill([("a", 0.5, 2), ("b", 0.5, 1)], {"a": 100, "b": 1000})
+    assert [p.repeats * p.tokens for p in whole] == [200, 900]
     assert [p.repeats * p.tokens for p in exact] == [200, 200]
     assert all(p.repeats == 0 for p in mixture.fill([("a", 1.0, 1)], {}))
 
@@ -267,7 +317,7 @@ def test_mixture(spark):
     df = spark.createDataFrame([(*d, 5, "clash") for d in docs], "doc_id bigint, text string, source string, n int, bin string")
     out, plan = mixture.mixture(df, "doc_id", "text", "source", [("a", 0.4, 2), ("b", 0.5, 3), ("none", 0.1, 1)])
     got = {r.source: r for r in mixture.reached(out, plan).collect()}
-    assert got["a"].share == pytest.approx(0.4 / 0.9, abs=0.01) and got["none"].tokens == 0
+    assert got["b"].share == pytest.approx(0.5 / 0.9, abs=0.01) and got["none"].tokens == 0
     most = {r.source: r.m for r in out.groupBy("source", "doc_id").count().groupBy("source").agg(F.max("count").alias("m")).collect()}
     assert most["a"] <= 2 and most["b"] <= 3
     again, _ = mixture.mixture(df.repartition(6), "doc_id", "text", "source", [("a", 0.4, 2), ("b", 0.5, 3), ("none", 0.1, 1)])
@@ -316,7 +366,7 @@ def test_label_codes(ask):
 # -- whole queries -----------------------------------------------------------------------------------
 
 COLUMNS = {
-    "p1_found": ["tbl", "record_id"], "p2_found": ["first_id", "copy_id"], "p3_found": ["row_id", "eval_id"], "p4_found": ["tbl", "record_id"], "p5_found": ["id_a", "id_b"],
+    "p1_found": ["tbl", "record_id"], "p2_found": ["tbl", "first_id", "copy_id"], "p3_found": ["row_id", "eval_id"], "p4_found": ["tbl", "record_id"], "p5_found": ["id_a", "id_b"],
     "p6_found": ["tbl", "record_id"], "p7_found": ["doc_id", "item_id"], "p9_found": ["doc_id", "lang"],
 }
 
@@ -334,7 +384,10 @@ def test_copies_oracle(spark):
     c = duckdb.connect()
     for t in ("training_data", "log_items"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    assert set(c.sql(text_oracles.oracles()["p2_found"]).fetchall()) == {tuple(r) for r in queries.p2_found(spark, SF).collect()}
+    for name in ("p2_found", "p2_copies"):
+        df = queries.queries()[name](spark, SF)
+        want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({text_oracles.oracles()[name]})").fetchall()
+        assert set(want) == {tuple(r) for r in df.collect()} and len(want) == len(set(want)) == df.count()
 
 
 def test_copies_name_their_table(spark, tmp_path):
@@ -358,7 +411,9 @@ def test_golay_code_is_perfect():
 def test_covering_is_complete(spark):
     from saola.llm import covering
 
-    rows = [t for t in near_rows(5) if t is None or len(t.split()) <= 39][:150]
+    rows = [t for t in near_rows(5) if t is None or len(t.split()) <= 39][:110]
+    r = random.Random(2)
+    rows += [x for t in (sentence(r, 70) for _ in range(8)) for x in (t, edited(r, t, 0.2))]
     df = spark.createDataFrame(list(enumerate(rows)), "row_id bigint, text string")
     want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i] and rows[j] and likeness_of(rows[i], rows[j]) >= 0.6 - 1e-9}
     assert {(r.a, r.b) for r in covering.covered_pairs(df, "row_id", F.col("text")).collect()} == want
@@ -372,4 +427,4 @@ def test_queries_on_empty_tables(spark, tmp_path, fixed):
         (df if keep else df.limit(0)).write.parquet(str(tmp_path / path.name))
     for name, query in queries.queries().items():
         rows = query(spark, str(tmp_path)).collect()
-        assert not rows or (fixed and name in ("p8_shares", "p8_full_shares") and all(r.tokens == 0 for r in rows)), name
+        assert not rows or (fixed and name in ("p8_shares", "p8_met_shares") and all(r.tokens == 0 for r in rows)), name
