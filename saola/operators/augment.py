@@ -8,13 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .normalize import clean_sentence, fold, mapping
-from .sequential import noise
+from .normalize import clean_sentence, mapping
 from .tagging import tag_errors
 from .telex import variants
 
@@ -282,19 +280,3 @@ def swap_ends(text: Column, key: Column, chance: float = 0.1) -> Column:
         return F.struct(F.concat(start, body, end).alias("w"), F.when(h.isNotNull() | t.isNotNull(), 0.0).otherwise(1.0).alias("r"))
 
     return bind(F.transform(F.split(text, " "), of), lambda a: F.struct(F.array_join(F.transform(a, lambda x: x["w"]), " ").alias("text"), F.transform(a, lambda x: x["r"]).alias("rates")))
-
-
-def noisy_sentence(df: DataFrame, id_col: str, text_col: str, seed: int = 42) -> DataFrame:
-    """(id, noisy): the older sentence-level noise. Six rows in a hundred lose all accents; the others pass
-    keyboard, tone, shape and letter noise, whose rates fall with every hit and are 0 for words whose ends were
-    swapped (the swapped text itself is not kept). The sequential state needs Python; it runs in Arrow batches
-    and draws from a generator seeded by the row."""
-    key = F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))
-    rates = swap_ends(F.col(text_col), key)["rates"]
-
-    @F.pandas_udf("string")
-    def run(text: pd.Series, rate: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else noise(t, list(r), x) for t, r, x in zip(text, rate, k)], dtype="object")
-
-    bare = unit(key, "bare") < 0.06
-    return df.select(id_col, F.when(bare, fold(F.col(text_col), compat=True)).otherwise(run(F.col(text_col), rates, key)).alias("noisy"))

@@ -9,23 +9,30 @@ from pyspark.sql import functions as F
 from .augment import draw
 from .normalize import with_task
 
-#: Rows that get one block of consecutive numbers.
-BLOCK = 100_000
+#: Rows of a block of consecutive numbers, about; blocks at most; accuracy of the quantiles that bound them.
+BLOCK, BLOCKS, ACCURACY = 100_000, 1_024, 20_000
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with `row`, the place of each row in the order of an integer column, from 0, without one task that sees
-    all rows: blocks of the order column are counted, their starts are summed, and rows are numbered within."""
-    keyed = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    """df with `row`, the place of each row in the order of a column, from 0 (nulls first, ties in any order), without
+    one task that sees all rows: quantiles of the column bound blocks of about equally many rows, however sparse its
+    values; blocks are counted, their starts summed, and rows numbered within."""
+    many = min(BLOCKS, df.count() // BLOCK + 1)
+    bounds = df.agg(F.percentile_approx(order, [k / many for k in range(1, many)], ACCURACY)).first()[0] if many > 1 else []
+    block = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    keyed = df.withColumn("_block", F.when(F.col(order).isNull(), 0).otherwise(block))
     counts = keyed.groupBy("_block").agg(F.count("*").alias("_n"))
-    # one row per block of BLOCK order values
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).drop("_n")
+    # at most BLOCKS rows
+    starts = counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block")) - F.col("_n")).drop("_n")
     within = F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1
-    return keyed.withColumn("_w", within).join(starts, "_block").withColumn("row", F.col("_start") + F.col("_w")).drop("_block", "_w", "_start")
+    return keyed.withColumn("_w", within).join(F.broadcast(starts), "_block").withColumn("row", F.col("_start") + F.col("_w")).drop("_block", "_w", "_start")
 
 
-def batches(df: DataFrame, order: str, value: str, size: int = 32) -> DataFrame:
-    """(batch, items): chunks of `size` values in the order of an integer column; a chunk is bounded by its size."""
+def batches(df: DataFrame, order: str, value: str, size: int = 32, once: bool = False) -> DataFrame:
+    """(batch, items): chunks of `size` values in the order of a column; a chunk is bounded by its size. once: each
+    value only at its first place."""
+    if once:
+        df = df.groupBy(value).agg(F.min(order).alias(order))
     rows = numbered(df, order)
     return (
         rows.groupBy(F.floor(F.col("row") / size).alias("batch"))
@@ -55,9 +62,7 @@ def encoded(rows: DataFrame, vocabulary: str, most: int = 128, text_cols: tuple[
 
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
-        t = _loaded.setdefault(vocabulary, Tokenizer.from_file(vocabulary)) if vocabulary not in _loaded else _loaded[vocabulary]
+        t = _tokenizer(vocabulary)
         t.encode_special_tokens = True
         out = t.encode_batch(text.fillna("").tolist(), add_special_tokens=False)
         return pd.Series([None if x is None else e.ids[:most] for x, e in zip(text, out)], dtype="object")
@@ -65,6 +70,33 @@ def encoded(rows: DataFrame, vocabulary: str, most: int = 128, text_cols: tuple[
     return rows.select("*", ids(F.col(text_cols[0])).alias("input_ids"), ids(F.col(text_cols[1])).alias("labels"))
 
 
+def decoded(rows: DataFrame, vocabulary: str, ids_col: str, out: str = "text") -> DataFrame:
+    """rows with the text of a column of token ids; null ids have null text."""
+
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        t = _tokenizer(vocabulary)
+        some = [i for i, x in enumerate(ids) if x is not None]
+        found = dict(zip(some, t.decode_batch([[int(k) for k in ids.iloc[i]] for i in some], skip_special_tokens=False)))
+        return pd.Series([found.get(i) for i in range(len(ids))], dtype="object")
+
+    return rows.withColumn(out, text(F.col(ids_col)))
+
+
+def special_tokens(vocabulary: str, wanted: tuple[str, ...]) -> list[str]:
+    """The wanted special tokens that a tokenizer file lacks, in their order."""
+    known = _tokenizer(vocabulary).get_vocab(with_added_tokens=True)
+    return [t for t in dict.fromkeys(wanted) if t not in known]
+
+
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    if vocabulary not in _loaded:
+        _loaded[vocabulary] = Tokenizer.from_file(vocabulary)
+    return _loaded[vocabulary]
+
+
 _loaded: dict = {}
 
 

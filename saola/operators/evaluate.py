@@ -2,25 +2,60 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import sequential
-from .normalize import clean_detection
+from .normalize import clean_detection, drop_punctuation, pieces
 
+SPAN = "(<error>.+?</error>)"
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.IntegerType()) for k in ("actual", "predicted", "matched")]))
-def count_errors(target: pd.Series, predicted: pd.Series) -> pd.DataFrame:
-    """Tagged spans of target and prediction and their matches (see sequential.true_errors)."""
-    return pd.DataFrame([sequential.true_errors(t, p) for t, p in zip(target, predicted)], columns=["actual", "predicted", "matched"])
 
+def _bind(value: Column, f) -> Column:
+    return F.transform(F.array(value), f)[0]
 
-@F.pandas_udf(T.IntegerType())
-def count_corrections(correct: pd.Series, predicted: pd.Series, detected: pd.Series) -> pd.Series:
-    """Right corrected words (see sequential.true_corrections)."""
-    return pd.Series([sequential.true_corrections(c, p, d) for c, p, d in zip(correct, predicted, detected)], dtype="int32")
+
+def count_errors(target: Column, predicted: Column) -> Column:
+    """struct<actual, predicted, matched> of the tagged spans. A predicted span is looked for among the target spans
+    from a mark on, which a match moves to its place counted from that mark, so a target may match twice, as the
+    established count has it; surplus predictions count as actual errors."""
+    spans = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(SPAN), F.lit(1))
+
+    def matched(p: Column) -> Column:
+        def step(s: Column, span: Column) -> Column:
+            at = F.array_position(F.slice(p["want"], s["mark"] + 1, F.size(p["want"])), span).cast("int")
+            return F.when(at > 0, F.struct((at - 1).alias("mark"), (s["n"] + 1).alias("n"))).otherwise(s)
+
+        n = F.aggregate(p["got"], F.struct(F.lit(0).alias("mark"), F.lit(0).alias("n")), step)["n"]
+        return F.struct(F.greatest(F.size(p["want"]), F.size(p["got"])).alias("actual"), F.size(p["got"]).alias("predicted"), n.alias("matched"))
+
+    return _bind(F.struct(spans(target).alias("want"), spans(predicted).alias("got")), matched)
+
+
+def _times(words: Column, word: Column) -> Column:
+    return F.size(F.filter(words, lambda w: w == word))
+
+
+def _without(words: Column, gone: Column, other: Column) -> Column:
+    """Words without the first occurrences that `gone` names, each as often as gone and other both hold it."""
+    nth = lambda w, i: _times(F.slice(words, F.lit(1), i + 1), w)
+    return F.filter(words, lambda w, i: nth(w, i) > F.least(_times(gone, w), _times(other, w)))
+
+
+def count_corrections(correct: Column, predicted: Column, detected: Column, most_apart: int = 2) -> Column:
+    """Corrected words that are right: words outside the tags leave both sentences as often as the right one holds
+    them, the rest is compared word by word, or by all equal pairs where the numbers of words differ by at most
+    `most_apart`."""
+    bare = lambda c: drop_punctuation(F.coalesce(c, F.lit("")))
+    texts = F.struct(pieces(bare(correct)).alias("want"), pieces(bare(predicted)).alias("got"), pieces(F.regexp_replace(bare(detected), SPAN, "")).alias("clean"))
+    left = _bind(texts, lambda p: F.struct(_without(p["want"], p["clean"], p["want"]).alias("want"), _without(p["got"], p["clean"], p["want"]).alias("got")))
+
+    def score(p: Column) -> Column:
+        same = F.size(F.filter(F.zip_with(p["got"], p["want"], lambda a, b: a == b), lambda x: x))
+        pairs = F.aggregate(p["got"], F.lit(0), lambda n, w: n + _times(p["want"], w))
+        apart = F.abs(F.size(p["want"]) - F.size(p["got"]))
+        return F.when(apart == 0, same).when(apart > most_apart, 0).otherwise(pairs)
+
+    return _bind(left, score)
 
 
 def tag_count(text: Column) -> Column:

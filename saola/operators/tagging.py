@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import constants as K
-from . import sequential
 from .filters import strip
 from .normalize import clean_detection, mapping, pieces, single_spaces
 from .telex import dashed_text
 
 EDIT = "array<struct<org_word: string, corrected: string, org_word_position: int>>"
-SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("origin", T.StringType()), T.StructField("corrected", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-
-
 def _bind(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
@@ -103,8 +97,8 @@ def word_edits(origin: Column, corrected: Column) -> Column:
     return F.when(origin.isNotNull() & corrected.isNotNull(), _bind(F.struct(pieces(origin).alias("o"), pieces(corrected).alias("c")), of))
 
 
-def error_spans(tagged: Column) -> Column:
-    """array<struct<start, end>> of the tagged words in the untagged text, ends exclusive."""
+def _tagged_parts(tagged: Column) -> Column:
+    """array<struct<start, w>> of the tagged words and their places in the untagged text."""
     parts = F.split(tagged, r"</?error>")
     # odd parts are tagged; each tag pair leaves two spaces fewer in the untagged text
     spans = F.transform(
@@ -115,8 +109,12 @@ def error_spans(tagged: Column) -> Column:
         ),
     )
     count = F.size(F.regexp_extract_all(tagged, F.lit("(<error>.*?</error>)"), F.lit(1)))
-    kept = F.filter(spans, lambda s: (s["i"] % 2 == 1) & (s["i"] < 2 * count))
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["w"])).alias("end")))
+    return F.filter(spans, lambda s: (s["i"] % 2 == 1) & (s["i"] < 2 * count))
+
+
+def error_spans(tagged: Column) -> Column:
+    """array<struct<start, end>> of the tagged words in the untagged text, ends exclusive."""
+    return F.transform(_tagged_parts(tagged), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["w"])).alias("end")))
 
 
 def nth_span(spans: Column, n: Column | int) -> Column:
@@ -164,16 +162,93 @@ def error_rate(origin: Column, tagged: Column) -> Column:
     return (F.length(tagged) - F.length(F.replace(tagged, F.lit(K.ERROR), F.lit("")))) / len(K.ERROR) / F.size(F.split(origin, " "))
 
 
-@F.pandas_udf(SPAN_TYPE)
-def arrange(corrected: pd.Series, tagged: pd.Series) -> pd.Series:
-    """Corrected words arranged to the tagged spans (see sequential.arrange)."""
-    return pd.Series([sequential.arrange(c, t) for c, t in zip(corrected, tagged)], dtype="object")
+SPANS = "array<struct<origin: string, corrected: string, start: int, end: int>>"
+
+
+def arrange(corrected: Column, tagged: Column) -> Column:
+    """array<struct<origin, corrected, start, end>>: the tagged spans with the corrected words that stand in their place.
+
+    Nothing for a text without tags or with as many words as the correction. Neighbouring tags are one span. The words
+    outside the tags are the landmarks: between the clean ends, a corrected word that occurs in the next landmark closes
+    the span that is open, any other word joins it; behind the last landmark the span stays open to the end. Without
+    landmarks all spans are one. A span beyond the tagged ones has no place and is left out."""
+    merged = F.when(F.lower(tagged).contains("</error> <error>"), F.replace(tagged, F.lit(" </error> <error> "), F.lit(" "))).otherwise(tagged)
+
+    def laid(p: Column) -> Column:
+        todo = _bind(clean_ends(p["t"]), lambda ends: middle(F.split(p["c"], " "), ends["head"], ends["tail"]))
+        found = F.struct(_tagged_parts(p["t"]).alias("spans"), words_between(p["t"]).alias("marks"), todo.alias("todo"))
+        return _bind(found, lambda q: F.when(F.size(q["marks"]) > 0, _between_marks(q)).otherwise(_one_span(q)))
+
+    some = corrected.isNotNull() & (corrected != "") & tagged.contains(K.ERROR) & (F.size(F.split(tagged, " ")) != F.size(F.split(corrected, " ")))
+    return F.when(some, _bind(F.struct(merged.alias("t"), corrected.alias("c")), laid)).otherwise(F.array().cast(SPANS))
+
+
+def _placed(origin: Column, words: Column, first: Column) -> Column:
+    return F.struct(
+        origin.alias("origin"), F.array_join(words, " ").alias("corrected"), first["start"].alias("start"), (first["start"] + F.length(first["w"])).alias("end"),
+    )
+
+
+def _one_span(q: Column) -> Column:
+    whole = F.array(_placed(F.array_join(F.transform(q["spans"], lambda s: s["w"]), " "), q["todo"], F.get(q["spans"], F.lit(0))))
+    return F.when((F.size(q["todo"]) > 0) & (F.size(q["spans"]) > 0), whole).otherwise(F.array().cast(SPANS))
+
+
+def _between_marks(q: Column) -> Column:
+    """Words are dealt to numbered heaps; a span takes the heap that was open when it closed, with what it gets later."""
+    start = F.struct(
+        F.lit(0).alias("span"), F.lit(0).alias("mark"), F.lit(0).alias("heap"), F.lit(False).alias("open"),
+        F.array().cast("array<struct<heap: int, w: string>>").alias("words"), F.array().cast("array<struct<span: int, heap: int>>").alias("closed"),
+    )
+    spans, marks = F.size(q["spans"]), F.size(q["marks"])
+
+    def close(closed: Column, span: Column, heap: Column, when: Column) -> Column:
+        return F.when(when & (span < spans), F.concat(closed, F.array(F.struct(span.alias("span"), heap.alias("heap"))))).otherwise(closed)
+
+    def step(s: Column, w: Column) -> Column:
+        word = F.array(F.struct(s["heap"].alias("heap"), w.alias("w")))
+        kept = F.struct(s["span"], s["mark"], s["heap"], F.lit(True).alias("open"), F.concat(s["words"], word).alias("words"), s["closed"])
+        moved = s["open"].cast("int")
+        last = s["mark"] == marks - 1
+        done = close(close(s["closed"], s["span"], s["heap"], s["open"]), s["span"] + moved, s["heap"] + moved, last)
+        passed = F.struct(
+            (s["span"] + moved).alias("span"), F.when(last, s["mark"]).otherwise(s["mark"] + 1).alias("mark"), (s["heap"] + moved).alias("heap"),
+            F.lit(False).alias("open"), s["words"], done.alias("closed"),
+        )
+        return F.when(F.contains(F.get(q["marks"], s["mark"]), w), passed).otherwise(kept)
+
+    def spelled(s: Column) -> Column:
+        words = lambda heap: F.transform(F.filter(s["words"], lambda x: x["heap"] == heap), lambda x: x["w"])
+        return F.transform(s["closed"], lambda o: _bind(F.get(q["spans"], o["span"]), lambda first: _placed(first["w"], words(o["heap"]), first)))
+
+    return _bind(F.aggregate(q["todo"], start, step), spelled)
+
+
+def tag_expansions(origin: Column, detected: Column) -> Column:
+    """For an abbreviation that occurs n times in the original, its first n expansions in the detected text become the
+    tagged abbreviation. Table order; several-word abbreviations, counted anywhere, before words. Null origin: as it is."""
+    entries = F.array(*[
+        F.struct(F.lit(k).alias("short"), F.lit(v).alias("full"), F.lit(many).alias("many"))
+        for table, many in ((K.MULTIPLE_ACRONYMS, True), (K.SINGLE_ACRONYMS, False)) for k, v in table.items()
+    ])
+    cut = lambda text, piece: F.split(text, F.concat(F.lit(r"\Q"), piece, F.lit(r"\E")))
+
+    def counted(words: Column) -> Column:
+        times = lambda e: F.when(e["many"], F.size(cut(origin, e["short"])) - 1).otherwise(F.size(F.filter(words, lambda w: w == e["short"])))
+        found = F.transform(F.filter(entries, lambda e: origin.contains(e["short"])), lambda e: F.struct(e["short"], e["full"], times(e).alias("n")))
+        return F.filter(found, lambda e: e["n"] > 0)
+
+    def step(text: Column, e: Column) -> Column:
+        tag = F.concat(F.lit(K.ERROR + " "), e["short"], F.lit(" " + K.END_ERROR))
+
+        def put(parts: Column) -> Column:
+            first, rest = F.slice(parts, F.lit(1), e["n"] + 1), F.slice(parts, e["n"] + 2, F.size(parts))
+            join = lambda texts, by: F.call_function("array_join", texts, by)
+            return F.concat(join(first, tag), F.when(F.size(rest) > 0, F.concat(e["full"], join(rest, e["full"]))).otherwise(F.lit("")))
 
+        return _bind(cut(text, e["full"]), put)
 
-@F.pandas_udf(T.StringType())
-def tag_expansions(origin: pd.Series, detected: pd.Series) -> pd.Series:
-    """Expansions of abbreviations tagged back (see sequential.tag_expansions)."""
-    return pd.Series([sequential.tag_expansions(o, d) for o, d in zip(origin, detected)], dtype="object")
+    return F.when(origin.isNull() | detected.isNull(), detected).otherwise(F.aggregate(_bind(F.split(origin, " "), counted), detected, step))
 
 
 def retag(tagged: Column, after: Column) -> Column:

@@ -5,9 +5,10 @@ a word that the vocabulary lacks is tagged, and tagged words are corrected from
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,31 @@ def keep_corrector(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, N.untagged(F.col(text_col)).alias("out"))
 
 
+#: Texts in, texts out; as many.
+Generate = Callable[[list[str]], list[str]]
+
+
+def model_stage(load: Callable[[], Generate], batch: int = 16, task: str | None = None) -> Stage:
+    """A neural detector or corrector as a stage: load() runs once in each task and gives the generating function, which
+    gets at most `batch` texts at once. load must be importable or picklable; it loads from a path that workers reach.
+    task: its prefix is put before every text. Null texts stay null. One narrow stage over Arrow batches."""
+
+    def run(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        def generated(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            generate = load()
+            for part in parts:
+                some = [i for i, t in enumerate(part["text"]) if t is not None]
+                texts = [part["text"].iloc[i] for i in some]
+                made = [x for k in range(0, len(texts), batch) for x in generate(texts[k : k + batch])]
+                found = dict(zip(some, made, strict=True))
+                yield pd.DataFrame({id_col: part[id_col], "out": pd.Series([found.get(i) for i in range(len(part))], index=part.index, dtype="object")})
+
+        text = F.col(text_col) if task is None else N.with_task(F.col(text_col), task)
+        return rows.select(id_col, text.alias("text")).mapInPandas(generated, f"{id_col} {dict(rows.dtypes)[id_col]}, out string")
+
+    return run
+
+
 def reverted(tagged: Column, corrected: Column, most: float) -> Column:
     """The untagged input where the tags per output word exceed `most`; an empty output reverts, too."""
     tags = (F.length(tagged) - F.length(F.replace(tagged, F.lit(K.ERROR), F.lit("")))) / len(K.ERROR)

@@ -243,6 +243,9 @@ def oracles() -> dict[str, str]:
     vowel_n = "CASE WHEN " + " OR ".join(f"contains(word, {q(k)})" for k in K.MISSPELT_VOWELS) + " THEN 1 ELSE 0 END"
     tail_at = lambda k: f"{tails}[right(word, {k})] IS NOT NULL"
     tail_new = lambda k: f"left(word, greatest(length(word) - {k}, 0)) || {pick(f'{tails}[right(word, {k})]', key, 'tail')}"
+    expansions = "[" + ", ".join(
+        f"{{'short': {q(k)}, 'long': {q(v)}, 'many': {many}}}" for t, many in ((K.MULTIPLE_ACRONYMS, True), (K.SINGLE_ACRONYMS, False)) for k, v in t.items()
+    ) + "]"
     return {
         "filter_corpus": f"SELECT doc_id, {strip('text')} AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) WHERE NOT {rejected('text')}",
         "flag_predicates": f"""SELECT row_id, contains({c}, 'http') AS url, len(string_split({c}, ' ')) < 5 AS short, NOT {hit(c, wide)} AS plain,
@@ -333,4 +336,42 @@ def oracles() -> dict[str, str]:
             UNION ALL SELECT row_id, 'correction', 'correction: ' || detected, corrected FROM training_data WHERE corrected IS NOT NULL""",
         "queue_page": "SELECT id, content FROM request_items WHERE prediction IS NULL ORDER BY CAST(id AS BIGINT), queued_at LIMIT 16",
         "event_counts": "SELECT strftime(date_trunc('hour', logged_at AT TIME ZONE 'UTC'), '%Y-%m-%d %H:%M:%S') AS start, client_id, count(*) AS n FROM log_items WHERE logged_at IS NOT NULL GROUP BY ALL",
+        "word_edits": f"""WITH p AS (SELECT id, o, c, list_filter(list_transform(o, lambda w, i: {{'rank': {rank}[w], 'at': i - 1, 'w': w}}), lambda x: x.rank IS NOT NULL) AS ks
+              FROM (SELECT id, {pieces('content')} AS o, {pieces('prediction')} AS c FROM (SELECT DISTINCT id, content, prediction FROM request_items WHERE prediction IS NOT NULL AND content IS NOT NULL)))
+            , a AS (SELECT id, o, c, list_transform(list_sort(ks), lambda x: {{'w': x.w, 'n': {mapping(K.SINGLE_ACRONYMS)}[x.w], 'at': x.at, 'next': x.at + len(string_split({mapping(K.SINGLE_ACRONYMS)}[x.w], ' '))}}) AS ks FROM p)
+            , walked AS (SELECT *, list_reduce(list_transform(range(0, len(o)), lambda k: {{'cursor': k, 'hits': CAST([] AS BIGINT[]), 'news': CAST([] AS VARCHAR[])}}),
+                lambda s, x: CASE WHEN s.cursor >= len(c) THEN s WHEN len(list_filter(ks, lambda y: y.at = x.cursor)) > 0 THEN {{'cursor': list_filter(ks, lambda y: y.at = x.cursor)[1].next, 'hits': s.hits, 'news': s.news}}
+                  WHEN o[x.cursor + 1] <> c[s.cursor + 1] THEN {{'cursor': s.cursor + 1, 'hits': list_append(s.hits, x.cursor), 'news': list_append(s.news, c[s.cursor + 1])}} ELSE {{'cursor': s.cursor + 1, 'hits': s.hits, 'news': s.news}} END,
+                {{'cursor': CAST(0 AS BIGINT), 'hits': CAST([] AS BIGINT[]), 'news': CAST([] AS VARCHAR[])}}) AS s FROM a)
+            SELECT id, e.a AS org_word, e.b AS corrected, CAST(e.i AS INT) AS org_word_position FROM (SELECT id, unnest(CASE WHEN len(o) = len(c)
+              THEN list_filter(list_transform(o, lambda w, i: {{'a': w, 'b': c[i], 'i': i - 1}}), lambda e: e.a <> e.b)
+              ELSE list_concat(list_transform(ks, lambda x: {{'a': x.w, 'b': x.n, 'i': x.at}}), list_transform(s.hits, lambda h, k: {{'a': o[h + 1], 'b': s.news[k], 'i': h}})) END) AS e FROM walked)""",
+        "tagged_expansions": f"""WITH p AS (SELECT DISTINCT log_id, {c} AS t FROM log_items WHERE {c} IS NOT NULL)
+            , x AS (SELECT log_id, t, {acronyms(many_acronyms('t'))} AS d FROM p)
+            , k AS (SELECT *, list_filter(list_transform({expansions}, lambda e: {{'text': '', 'short': e.short, 'long': e.long, 'n': CASE WHEN e.many THEN len(string_split(t, e.short)) - 1 ELSE len(list_filter(string_split(t, ' '), lambda w: w = e.short)) END}}), lambda e: e.n > 0) AS es FROM x)
+            SELECT log_id, CASE WHEN len(es) = 0 THEN d ELSE list_reduce(es, lambda a, e: {{'text': replace(array_to_string(string_split(a.text, e.long)[1:e.n + 1], chr(7)), chr(7), '<error> ' || e.short || ' </error>')
+                || CASE WHEN len(string_split(a.text, e.long)) > e.n + 1 THEN e.long || replace(array_to_string(string_split(a.text, e.long)[e.n + 2:], chr(7)), chr(7), e.long) ELSE '' END, 'short': e.short, 'long': e.long, 'n': e.n}},
+              {{'text': d, 'short': '', 'long': '', 'n': CAST(0 AS BIGINT)}}).text END AS tagged FROM k""",
+        "queue_stream": f"SELECT id, {squeeze(acronyms(bare('content')))} AS prediction, 1 AS finish FROM (SELECT id, min(content) AS content FROM request_items WHERE prediction IS NULL GROUP BY id)",
+        "queue_snapshot": f"""WITH asked AS (SELECT id, min(content) AS content, max(prediction) AS before, bool_or(prediction IS NULL) AS waits FROM request_items GROUP BY id)
+            SELECT id, content, coalesce(CASE WHEN waits THEN {squeeze(acronyms(bare('content')))} END, before) AS prediction, CASE WHEN waits OR before IS NOT NULL THEN 1 ELSE 0 END AS finish FROM asked""",
+        "queue_remaining": "SELECT id, content FROM request_items WHERE id NOT IN (SELECT id FROM request_items WHERE finish = 1)",
+        "batches_once": "SELECT row // 32 AS batch, count(*) AS n, md5(string_agg(text, '|' ORDER BY row)) AS digest FROM (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row, text FROM (SELECT coalesce(corrected, '') AS text, min(row_id) AS row_id FROM training_data GROUP BY 1)) GROUP BY 1",
+        "text_files": f"SELECT text, count(*) AS n FROM (SELECT {strip('text')} AS text FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM documents) WHERE NOT {rejected('text')}) GROUP BY text",
+        "arranged_spans": f"""WITH p AS (SELECT row_id, corrected, CASE WHEN contains(lower(detected), '</error> <error>') THEN replace(detected, ' </error> <error> ', ' ') ELSE detected END AS detected FROM training_data
+              WHERE corrected <> '' AND contains(detected, '<error>') AND len(string_split(detected, ' ')) <> len(string_split(corrected, ' ')))
+            , m AS (SELECT row_id, {head} AS hd, {tail} AS tl, {spans} AS sp, string_split(corrected, ' ') AS ws, list_transform(regexp_extract_all(detected, '(?i)</error>?(.*?) <error>', 1), lambda x: {strip('x')}) AS bt FROM p)
+            , t AS (SELECT row_id, sp, ws[len(hd) + 1:greatest(len(ws) - len(tl), len(hd))] AS todo, CASE WHEN len(bt) = 0 THEN [] ELSE string_split(array_to_string(bt, ' '), ' ') END AS marks FROM m)
+            , f AS (SELECT *, list_reduce(list_transform(todo, lambda w: {{'w': w, 'span': 0, 'mark': 0, 'heap': 0, 'open': 0, 'heaps': CAST([] AS INT[]), 'words': CAST([] AS VARCHAR[]), 'closed': CAST([] AS INT[]), 'taken': CAST([] AS INT[])}}),
+                lambda s, x: CASE WHEN NOT contains(marks[s.mark + 1], x.w)
+                  THEN {{'w': '', 'span': s.span, 'mark': s.mark, 'heap': s.heap, 'open': 1, 'heaps': list_append(s.heaps, s.heap), 'words': list_append(s.words, x.w), 'closed': s.closed, 'taken': s.taken}}
+                  ELSE {{'w': '', 'span': s.span + s.open, 'mark': least(s.mark + 1, len(marks) - 1), 'heap': s.heap + s.open, 'open': 0, 'heaps': s.heaps, 'words': s.words,
+                    'closed': list_concat(s.closed, list_filter([CASE WHEN s.open = 1 THEN s.span END, CASE WHEN s.mark = len(marks) - 1 THEN s.span + s.open END], lambda k: k < len(sp))),
+                    'taken': list_concat(s.taken, list_transform(list_filter([CASE WHEN s.open = 1 THEN 0 END, CASE WHEN s.mark = len(marks) - 1 THEN s.open END], lambda k: s.span + k < len(sp)), lambda k: s.heap + k))}} END,
+                {{'w': '', 'span': 0, 'mark': 0, 'heap': 0, 'open': 0, 'heaps': CAST([] AS INT[]), 'words': CAST([] AS VARCHAR[]), 'closed': CAST([] AS INT[]), 'taken': CAST([] AS INT[])}}) AS s FROM t)
+            , o AS (SELECT row_id, unnest(CASE WHEN len(marks) > 0 THEN list_transform(s.closed, lambda k, i: {{'origin': sp[k + 1].w, 'corrected': array_to_string(list_filter(s.words, lambda w, n: s.heaps[n] = s.taken[i]), ' '), 'a': sp[k + 1].s, 'b': sp[k + 1].s + length(sp[k + 1].w)}})
+                WHEN len(todo) > 0 AND len(sp) > 0 THEN [{{'origin': array_to_string(list_transform(sp, lambda x: x.w), ' '), 'corrected': array_to_string(todo, ' '), 'a': sp[1].s, 'b': sp[1].s + length(sp[1].w)}}] END) AS e FROM f)
+            SELECT row_id, e.origin AS origin, e.corrected AS corrected, CAST(e.a AS INT) AS start, CAST(e.b AS INT) AS "end" FROM o""",
+        "training_files": "SELECT nullif(corrected, '') AS corrected, nullif(input_text, '') AS input_text, nullif(detected, '') AS detected, nullif(new_target, '') AS new_target, count(*) AS n FROM training_data GROUP BY ALL",
+        "evaluation_files": "SELECT nullif(error_sentence, '') AS error_sentence, nullif(detection_target, '') AS detection_target, nullif(correction_target, '') AS correction_target, error_type, count(*) AS n FROM evaluation_data WHERE error_type IS NOT NULL GROUP BY ALL",
     }

@@ -12,6 +12,7 @@ from ..operators import augment as A
 from ..operators import batches as B
 from ..operators import evaluate as E
 from ..operators import filters as P
+from ..operators import noise as Z
 from ..operators import normalize as N
 from ..operators import tagging as T
 from ..operators import telex as X
@@ -151,7 +152,7 @@ def training_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def noisy_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return A.noisy_sentence(table(spark, sf, "training_data").where("corrected IS NOT NULL"), "row_id", "corrected")
+    return Z.noisy_sentence(table(spark, sf, "training_data").where("corrected IS NOT NULL"), "row_id", "corrected")
 
 
 def chat_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,6 +317,52 @@ def queue_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("id", "prediction", "finish")
 
 
+def queue_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue with the answers of the stream put in."""
+    asked = table(spark, sf, "request_items")
+    return queue.snapshot(asked, queue_stream(spark, sf))
+
+
+def queue_remaining(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left in the queue when the finished requests are deleted."""
+    asked = table(spark, sf, "request_items")
+    return queue.remaining(asked, asked.where("finish = 1")).select("id", "content")
+
+
+def batches_once(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "training_data").select("row_id", F.coalesce("corrected", F.lit("")).alias("text"))
+    made = B.batches(rows, "row_id", "text", 32, once=True)
+    return made.select("batch", F.size("items").alias("n"), F.md5(F.array_join("items", "|")).alias("digest"))
+
+
+def text_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean corpus lines written as text and read again, with their number."""
+    path = f"{scratch_dir(spark)}/lines-{uuid.uuid4().hex}/corpus.txt"
+    io.write_lines(filter_corpus(spark, sf), path)
+    forget(spark, path.rsplit("/", 1)[0])
+    return io.read_corpus(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+def training_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows written as CSV and read again; empty texts come back as nulls."""
+    path = f"{scratch_dir(spark)}/training-{uuid.uuid4().hex}/rows.csv"
+    io.write_training(table(spark, sf, "training_data"), path)
+    forget(spark, path.rsplit("/", 1)[0])
+    return io.read_training(spark, path).groupBy("corrected", "input_text", "detected", "new_target").agg(F.count("*").alias("n"))
+
+
+def evaluation_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation rows written as CSV folders per error type and read as one directory; the percentage isn't in the names."""
+    root = f"{scratch_dir(spark)}/evaluation-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "evaluation_data").where("error_type IS NOT NULL").select(
+        F.col("error_sentence").alias("augmented"), F.col("detection_target").alias("label"), F.col("correction_target").alias("original"), F.col("error_type").alias("kind"), "error_type"
+    )
+    io.write_csv(rows, root, by=("kind",))
+    forget(spark, root)
+    got = io.read_evaluation(spark, root).withColumn("error_type", F.regexp_replace("error_type", "^kind=", ""))
+    return got.groupBy("error_sentence", "detection_target", "correction_target", "error_type").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     """Public functions of this module that take a session and a directory."""
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in ("queries", "table")}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import logging
 from dataclasses import dataclass, fields
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +45,13 @@ def write_training(df: DataFrame, path: str, mode: str = "errorifexists") -> Non
     if path.endswith("parquet"):
         rows.write.mode(mode).parquet(path)
     else:
-        rows.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+        write_csv(rows, path, mode)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", by: tuple[str, ...] = ()) -> None:
+    """CSV with header that read_csv reads back as it was, blanks at the ends of texts included."""
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).partitionBy(*by).options(header=True, escape='"', **blanks).csv(path)
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
@@ -54,10 +60,16 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
 
 def read_evaluation(spark: SparkSession, directory: str) -> DataFrame:
     """All CSV files under directory/<error type>/, with error_type, the error percentage (the two digits nine
-    places before the end of the file name, null for others) and the columns under their established names."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{directory}/*/*.csv")
-    path = F.col("_metadata.file_path")
+    places before the end of the file name, null for others) and the columns under their established names; no rows where
+    there is no file."""
     names = {"augmented": "error_sentence", "label": "detection_target", "original": "correction_target"}
+    try:
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{directory}/*/*.csv")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"{v} string" for v in names.values()) + ", error_type string, error_pct int")
+    path = F.col("_metadata.file_path")
     return df.select(
         *[F.col(k).alias(v) for k, v in names.items()],
         F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("error_type"),
@@ -65,11 +77,6 @@ def read_evaluation(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Request log: appends to a Parquet table."""
-    rows.write.mode("append").parquet(path)
-
-
 @dataclass(frozen=True)
 class TrainSettings:
     model: str = ""
@@ -89,13 +96,3 @@ def read_settings(path: str) -> TrainSettings:
     data = yaml.safe_load(Path(path).read_text()) or {}
     data = data.get("train", data)
     return TrainSettings(**{f.name: type(f.default)(data[f.name]) for f in fields(TrainSettings) if f.name in data})
-
-
-def logger(name: str) -> logging.Logger:
-    log = logging.getLogger(name)
-    if not log.handlers:
-        handler = logging.StreamHandler()
-        handler.setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
-        log.addHandler(handler)
-        log.setLevel(logging.INFO)
-    return log

@@ -42,6 +42,26 @@ def serve(requests: DataFrame, correct: Correct, out: str, checkpoint: str, log:
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def push(requests: DataFrame, directory: str) -> None:
+    """Puts requests (id, content, client_id, queued_at) into the queue: one append, pending."""
+    rows = requests.select("id", "content", F.lit(None).cast("string").alias("prediction"), F.lit(0).alias("finish"), "client_id", "queued_at")
+    rows.write.mode("append").parquet(directory)
+
+
+def remaining(queue: DataFrame, answered: DataFrame) -> DataFrame:
+    """The queue without the requests that were answered or taken back; a table without rows clears nothing."""
+    return queue.join(answered.select("id").distinct(), "id", "left_anti")
+
+
+def snapshot(queue: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, content, prediction, finish): every request once, finished where there is an answer."""
+    asked = queue.groupBy("id").agg(F.min("content").alias("content"), F.max("prediction").alias("before"))
+    got = answers.groupBy("id").agg(F.max(F.struct(F.col("finish"), "prediction")).alias("a"))
+    joined = asked.join(got, "id", "left")
+    text = F.coalesce("a.prediction", "before")
+    return joined.select("id", "content", text.alias("prediction"), F.when(F.col("a").isNotNull() | F.col("before").isNotNull(), 1).otherwise(0).alias("finish"))
+
+
 def response(results: DataFrame, request_id: str) -> DataFrame:
     """The answer to one request, empty while there is none."""
     return results.where(F.col("id") == request_id).select("id", "prediction")

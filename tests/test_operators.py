@@ -16,7 +16,7 @@ from saola.operators import batches as B
 from saola.operators import evaluate as E
 from saola.operators import filters as P
 from saola.operators import normalize as N
-from saola.operators import sequential as S
+from saola.operators import noise as Z
 from saola.operators import tagging as T
 from saola.operators import telex as X
 from saola.operators import vocabulary as V
@@ -99,8 +99,9 @@ def test_tag_errors_and_gate(ask):
 def test_retag_and_expansions(ask):
     got = ask([("em <error> hoc </error> bài <error> x </error>", "em học bài x"), ("a <error> b </error>", "a")], "t string, a string", T.retag(C, F.col("a")))
     assert [r[0] for r in got] == ["em học bài <error> x </error>", "a <error> b </error>"]
-    assert S.tag_expansions("ko biết ko", "không biết không và không") == "<error> ko </error> biết <error> ko </error> và không"
-    assert S.tag_expansions(None, "a") == "a" and S.tag_expansions("a", None) is None
+    rows = [("ko biết ko", "không biết không và không"), (None, "a"), ("a", None), ("k? là j", "không là gì"), ("ko", "")]
+    got = ask(rows, "o string, d string", T.tag_expansions(F.col("o"), F.col("d")))
+    assert [r[0] for r in got] == ["<error> ko </error> biết <error> ko </error> và không", "a", None, "<error> k? </error> <error> là j </error>", ""]
 
 
 def test_filter_corpus(spark):
@@ -243,8 +244,8 @@ def test_training_rows(spark):
 
 def test_older_noise(spark):
     df = spark.createDataFrame([(i, "được rồi vậy thì tôi không biết gì") for i in range(300)] + [(500, ""), (501, None)], "id int, t string")
-    got = {r.id: r.noisy for r in A.noisy_sentence(df, "id", "t").collect()}
-    assert got == {r.id: r.noisy for r in A.noisy_sentence(df.repartition(3), "id", "t").collect()}
+    got = {r.id: r.noisy for r in Z.noisy_sentence(df, "id", "t").collect()}
+    assert got == {r.id: r.noisy for r in Z.noisy_sentence(df.repartition(3), "id", "t").collect()}
     assert got[500] == "" and got[501] is None and len({got[i] for i in range(300)}) > 50
     chat = df.select("id", A.chat_words(C, F.concat_ws("|", F.lit("1"), "id")).alias("x")).collect()
     assert any("hân" in (r.x or "") for r in chat) and any("không" in (r.x or "") for r in chat)
@@ -333,18 +334,20 @@ def test_vocabulary_correction(spark):
     assert got == {1: "em học bài", 2: "bạn đọc sách", 3: "không có tag", 4: None, 5: "em <error> zzz </error> bài"}
 
 
-def test_counters():
+def test_counters(ask):
     tag = lambda *ws: " ".join(f"<error> {w} </error>" for w in ws)
     cases = [
         (tag("a", "b"), tag("a", "b"), (2, 2, 2)), (tag("a", "b"), tag("b", "a"), (2, 2, 1)), (tag("a"), tag("a", "c", "d"), (3, 3, 1)), (tag("a", "b"), "a b", (2, 0, 0)),
         ("", "", (0, 0, 0)), (None, tag("a"), (1, 1, 0)), (tag("a"), tag("a", "a"), (2, 2, 2)),
     ]
-    for target, predicted, counts in cases:
-        assert S.true_errors(target, predicted) == counts
-    assert S.true_corrections("em học bài", "em học bài", "em <error> hoc </error> bài") == 1
-    assert S.true_corrections("a b c d", "a", "<error> a </error>") == 0
-    assert S.true_corrections("em học tốt", "em học rất tốt", "em <error> hoc </error> <error> totj </error>") == 2
-    assert S.true_corrections(None, None, None) == 0
+    got = ask([c[:2] for c in cases], "t string, p string", E.count_errors(F.col("t"), F.col("p")))
+    assert [tuple(r[0]) for r in got] == [c[2] for c in cases]
+    rows = [
+        ("em học bài", "em học bài", "em <error> hoc </error> bài", 1), ("a b c d", "a", "<error> a </error>", 0), (None, None, None, 0),
+        ("em học tốt", "em học rất tốt", "em <error> hoc </error> <error> totj </error>", 2), ("a a b", "a c b", "a <error> x </error> b", 0), ("a a", "a a", "a <error> x </error>", 1),
+    ]
+    got = ask([r[:3] for r in rows], "c string, p string, d string", E.count_corrections(F.col("c"), F.col("p"), F.col("d")))
+    assert [r[0] for r in got] == [r[3] for r in rows]
 
 
 def test_scores(spark):

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from saola.operators import batches as B
 from saola.plans import correct as C
+from saola.operators import batches as B
 from saola.plans import oracles, queries
 from saola.sources import io
 from saola.streaming import queue
@@ -80,6 +82,57 @@ def test_stream(spark, tmp_path):
     assert queue.response(got, "1").first().prediction == "A" and spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_queue_tables(spark, tmp_path):
+    asked = spark.createDataFrame([("1", "a", "c", None), ("2", "b", "c", None), ("2", "b", "c", None), (None, None, None, None)], "id string, content string, client_id string, queued_at timestamp")
+    queue.push(asked, str(tmp_path / "q"))
+    queue.push(asked.where("id = '1'"), str(tmp_path / "q"))
+    q = spark.read.parquet(str(tmp_path / "q"))
+    answers = spark.createDataFrame([("2", "B", 1)], "id string, prediction string, finish int")
+    got = {r.id: (r.prediction, r.finish) for r in queue.snapshot(q, answers).collect()}
+    assert q.count() == 5 and got == {"1": (None, 0), "2": ("B", 1), None: (None, 0)}
+    assert sorted(str(r.id) for r in queue.remaining(q, answers).collect()) == ["1", "1", "None"]
+    assert queue.remaining(q, answers.limit(0)).count() == 5
+
+
+def test_model_stage(spark):
+    def load():
+        def generate(texts):
+            assert len(texts) <= 2
+            return [t.upper() for t in texts]
+
+        return generate
+
+    rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(["a", None, "", "b c", "d"])], "id bigint, t string, out string")
+    run = C.model_stage(load, batch=2)
+    assert {r.id: r.out for r in run(rows, "id", "t").collect()} == {0: "A", 1: None, 2: "", 3: "B C", 4: "D"}
+    assert run(rows.limit(0), "id", "t").count() == 0
+    tasked = C.model_stage(load, task="correction")(rows, "id", "t").where("id = 0").first().out
+    assert tasked == "CORRECTION: A"
+
+
+def test_tokens(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    rows = spark.createDataFrame([("học bài", "x"), (None, ""), ("", None)], "input string, label string")
+    got = B.decoded(B.encoded(rows, path), path, "input_ids", "back").collect()
+    assert [r.back for r in got] == ["học bài", None, ""]
+    assert B.special_tokens(path, ("<error>", "<error>", "</error>")) == ["<error>", "</error>"]
+
+
+def test_numbered_sparse(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 50)
+    ids = [None, None] + [3] * 200 + [10**15 * k for k in range(1, 300)]
+    df = spark.createDataFrame([(i, "x") for i in ids], "id bigint, row string").drop("row").repartition(5)
+    got = B.numbered(df, "id").orderBy("row").collect()
+    assert [r.row for r in got] == list(range(len(ids))) and [r.id for r in got] == ids
+    assert B.numbered(df.limit(0), "id").count() == 0
+
+
+def test_csv_keeps_blanks(spark, tmp_path):
+    rows = [("  a ", 'x "y"', "1\n2", None)]
+    io.write_training(spark.createDataFrame(rows, "corrected string, input_text string, detected string, new_target string"), str(tmp_path / "t.csv"))
+    assert [tuple(r) for r in io.read_training(spark, str(tmp_path / "t.csv")).collect()] == rows
+
+
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")
@@ -100,7 +153,7 @@ def test_oracle(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = rows(map(tuple, df.select(*cols).collect()))
-    want = rows(duck.sql(f"SELECT {', '.join(cols)} FROM ({oracles.oracles()[name]})").fetchall())
+    want = rows(duck.sql(f"""SELECT {', '.join(f'"{c}"' for c in cols)} FROM ({oracles.oracles()[name]})""").fetchall())
     assert got == want
 
 
