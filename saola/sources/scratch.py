@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir. Where none is set a local session gets a folder of its own; on a
     cluster that is an error, because executors don't see one another's disks."""
@@ -16,8 +20,8 @@ def scratch_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        given = "file://" + tempfile.mkdtemp(prefix="saola-")
-        spark.conf.set("spark.checkpoint.dir", given)
+        given = _own.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="saola-")
+        _own[spark.sparkContext.applicationId] = given
     return given.rstrip("/")
 
 
