@@ -87,7 +87,8 @@ def lookup_words(df: DataFrame, id_col: str, text_col: str, dictionary: DataFram
     """df with `corrected`: words found in dictionary (telex, word) replaced; one closing punctuation mark is put
     aside for the look-up and is restored on a hit only, as the established behaviour has it.
 
-    The dictionary goes to the executors as a broadcast if it has at most `most` entries, else by a shuffle join.
+    The dictionary goes to the executors as a broadcast if it has at most `most` entries, else by a shuffle join. The
+    words of a row are put together again by its id, which must be unique.
     """
     word = F.when(F.right("w", F.lit(1)).isin(*K.PUNCTUATION), F.left("w", F.length("w") - 1)).otherwise(F.col("w"))
     mark = F.when(F.right("w", F.lit(1)).isin(*K.PUNCTUATION), F.right("w", F.lit(1))).otherwise(F.lit(""))

@@ -185,7 +185,7 @@ def group_candidates(groups: DataFrame, bigrams: DataFrame, least: float = LEAST
 
 def correct_tagged(df: DataFrame, id_col: str, tagged_col: str, bigrams: DataFrame, least: float = LEAST) -> DataFrame:
     """df with `retagged`: tagged words that the dictionary knows in their neighbourhood are replaced and lose
-    their tags, token by token. Of a word's groups the one with the better score decides."""
+    their tags, token by token. Of a word's groups the one with the better score decides. Ids must be unique."""
     base = df.select(id_col, single_spaces(F.col(tagged_col)).alias("_t"))
     long = base.select(id_col, F.posexplode(word_groups(F.col("_t"))).alias("gp", "g")).select(id_col, "gp", "g.*")
     best = group_candidates(long.select("left_word", "right_word", "side"), bigrams, least).where("left_new <> left_word OR right_new <> right_word")
