@@ -379,12 +379,12 @@ def test_query(spark, name):
     assert rows and len(set(map(tuple, rows))) == len(rows)
 
 
-def test_copies_oracle(spark):
+def test_oracles(spark):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in ("training_data", "log_items"):
+    for t in ("training_data", "log_items", "evaluation_data"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    for name in ("p2_found", "p2_copies"):
+    for name in text_oracles.oracles():
         df = queries.queries()[name](spark, SF)
         want = c.sql(f"SELECT {', '.join(df.columns)} FROM ({text_oracles.oracles()[name]})").fetchall()
         assert set(want) == {tuple(r) for r in df.collect()} and len(want) == len(set(want)) == df.count()
