@@ -4,43 +4,41 @@ Likeness of two texts is the number of words in common (with repeats) over the w
 classes of equal texts and the rows of each class (Alike); only `rows` expands them to pairs of rows. Their steps:
 
 1. texts with the same words in the same order become one class, so copies never meet each other;
-2. each class sends a 128-bit parity fingerprint to its anchors (runs of consecutive words);
-3. fingerprints that meet at an anchor are compared: likeness t bounds the differing words by
-   (1 - t) / (1 + t) of all words, which bounds the differing bits, so this step is exact;
-4. surviving pairs are verified on the whole texts: across tables by banded dynamic programming, then on the word bags.
-
-Step 2 is where a pair can be missed (two texts at the threshold that share no run of words). No anchor is capped: an
-anchor that very many classes share is split by the words that alike texts can't but share (see `split_hot`).
+2. the words of a class are put in one order for all texts, rare words first. Two alike texts of n and m words share
+   t / (1 + t) * (n + m) words or more, so the first k words that they share stand among the first words of both (see
+   `Keys`). Each class sends a 128-bit parity fingerprint to its single words there, and where a word is shared by very
+   many classes to its pairs, triples and so on of words instead, so no key is capped and no pair is lost;
+3. fingerprints that meet at a key are compared: likeness t bounds the differing words by (1 - t) / (1 + t) of all
+   words, which bounds the differing bits, so this step is exact;
+4. surviving pairs are verified on the whole word bags.
+
+Every step is complete: all pairs that reach the likeness are found, wherever their words stand.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, numbered, parity, segments, stage, unstage, windows, word_hashes, words
+from .common import numbered, parity, stage, unstage, word_hashes, words
 from .copies import form_record, is_form
 
 LIKENESS = 0.6
-#: Run length of an anchor by the words of the text: (from words, run). Within a table the shorter text of a pair
-#: decides, across tables the evaluation text. A run is so long that the share of words that may be altered at any
-#: place is about the same for all lengths, a tenth to a fifth.
-WITHIN = ((1, 1), (5, 2), (10, 3), (21, 6))
-ACROSS = ((1, 1), (4, 2), (12, 4))
-#: An anchor of more classes than this is split; their number is estimated on one class of SAMPLE, which decides about
-#: the plan and never about the result.
+#: A key of more classes than this is extended by a further word. The number is estimated on one class of SAMPLE, which
+#: decides about the plan and never about the result.
 HOT_ANCHOR, SAMPLE = 20_000, 16
-#: Frequent words whose order is known to all tasks.
-HOT_WORDS = 4_096
-#: Share of the edits that likeness allows which the dynamic programming grants on top, for words that changed places.
-SLACK = 0.5
-#: Cells of the dynamic programming that are held at once.
-CELLS = 4_000_000
+#: Words whose order is known to all tasks, and words of a key at most.
+RANKED, DEPTH = 65_536, 8
+#: Keys are joined in passes of about so many classes, one after another, so that the keys of one pass only are on disk.
+PASS_CLASSES, PASSES = 250_000, 4
+#: Cells of the dynamic programming that are held at once, and keys.
+CELLS, MADE = 4_000_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -79,76 +77,153 @@ def sketch(df: DataFrame, id_col: str, text: Column, copy_root: bool = False) ->
 CLASS = ("c0", "c1", "root")
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """One row for each distinct word sequence (and root), under a number of its own; to be staged, which fixes the
-    numbers. Numbers that count up take less room in a shuffle than hashes."""
+def classes(rows: DataFrame, order: np.ndarray) -> DataFrame:
+    """One row for each distinct word sequence (and root), under a number of its own, its bag in the order of `order`; to
+    be staged, which fixes the numbers. Numbers that count up take less room in a shuffle than hashes."""
     firsts = rows.groupBy(*CLASS).agg(F.first("tokens").alias("tokens"), F.first("words").alias("words"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
-    return firsts.withColumn("rep", F.monotonically_increasing_id())
+    bags = firsts.select(*CLASS, "words", "f0", "f1", numbered("tokens").alias("bag"))
+    return bags.mapInArrow(in_order(order), bags.schema).withColumn("rep", F.monotonically_increasing_id())
+
 
+def frequent_words(rows: DataFrame) -> np.ndarray:
+    """The most frequent words (numbered within their text), the most frequent one first, at most RANKED, by the estimate
+    of a sample."""
+    some = rows.where(F.pmod("c0", F.lit(SAMPLE)) == 0).select(F.explode(numbered("tokens")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return np.array([r["w"] for r in some.where("n > 1").orderBy(F.desc("n"), "w").limit(RANKED).collect()], np.int64)
 
-def spans(runs: tuple[tuple[int, int], ...]) -> list[tuple[int, int | None, int]]:
-    """(from words, below words, run) of a table of run lengths."""
-    ends = [first for first, _ in runs[1:]] + [None]
-    return [(first, end, run) for (first, run), end in zip(runs, ends)]
 
+def cut_lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an array of lists and the length of each."""
+    return lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
-def anchors(reps: DataFrame, runs: tuple[tuple[int, int], ...], shorter: float, longer: float, cut: bool = False) -> DataFrame:
-    """Fingerprints replicated to the anchors of each text: (rep, words, f0, f1, tokens, anchor, at), at: the place of the
-    run in words.
 
-    A text of n words offers the runs of every length that a text of shorter * n to longer * n words decides on; with
-    `cut` the disjoint segments of its own run length instead."""
-    none = F.array().cast("array<struct<anchor: bigint, at: int>>")
-    n = F.col("words")
+def joined_lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int64()))
 
-    def placed(hashes: Column, run: int, step: int) -> Column:
-        return F.transform(hashes, lambda h, i: F.struct(h.alias("anchor"), F.least(i * step, n - run).cast("int").alias("at")))
 
-    keys = []
-    for first, end, run in spans(runs):
-        low, high = (n, n) if cut else (n * shorter, n * longer)
-        takes = high >= first if end is None else (high >= first) & (low < end)
-        keys.append(F.when(takes, placed(segments("tokens", run), run, run) if cut else placed(windows("tokens", run), run, 1)).otherwise(none))
-    return reps.select("rep", "words", "f0", "f1", "tokens", F.explode(F.concat(*keys)).alias("k")).select("rep", "words", "f0", "f1", "tokens", "k.anchor", "k.at")
+def in_order(order: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that puts the words of bags in one order: words that `order` doesn't name, then the named ones from the
+    last to the first."""
+    by = np.argsort(order)
+    known = order[by]
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            flat, n = cut_lists(part.column("bag"))
+            late = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                late = np.where(known[at] == flat, len(known) - by[at], 0)
+            bag = joined_lists(flat[np.lexsort((flat, late, np.repeat(np.arange(len(n)), n)))], n)
+            yield pa.RecordBatch.from_arrays([bag if name == "bag" else part.column(name) for name in part.schema.names], names=part.schema.names)
 
-def hot_anchors(at: DataFrame) -> list[int]:
-    """At most HOT_KEYS anchors that more than HOT_ANCHOR classes have, by the estimate of a sample."""
-    some = at.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0).groupBy("anchor").agg(F.count("*").alias("n"))
-    return [r["anchor"] for r in some.where(F.col("n") * SAMPLE > HOT_ANCHOR).orderBy(F.desc("n"), "anchor").limit(HOT_KEYS).collect()]
+    return run
 
 
-def frequent_words(reps: DataFrame) -> list[int]:
-    """The most frequent words (numbered within their text), at most HOT_WORDS, by the estimate of a sample."""
-    some = reps.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0).select(F.explode(numbered("tokens")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return [r["w"] for r in some.orderBy(F.desc("n"), "w").limit(HOT_WORDS).collect()]
+@dataclass(frozen=True)
+class Keys:
+    """The keys of texts whose bags are in one order.
+
+    A text of n words whose partner has m words shares c = t / (1 + t) * (n + m) or more with it, so the k-th word that
+    they share has c - k others behind it and is one of the first n - c + k of either. Shared words are met in the same
+    order on both sides; so the tuple of the first k of them is a key of both if each text gives all its tuples whose
+    j-th word is among the first n - c + j. A tuple in `hot[k - 1]` is replaced by its extensions by one word, and by a
+    key of its own for partners that needn't share more than k. c is taken for the partner with which it is least:
+    `longer` where the partners have n words or more, else 0.6 n or more."""
+
+    least: float
+    hot: tuple[np.ndarray, ...] = ()
+    longer: bool = False
+    #: keys of as many words as there are hot lists, and one more, only
+    last: bool = False
+    part: int = 0
+    parts: int = 1
+
+    def of(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the texts of n words each, and their number for each text."""
+        bags, starts = flat.view(np.uint64), np.cumsum(n) - n
+        partner = n if self.longer else np.ceil(n * self.least - 1e-9)
+        common = np.maximum(np.ceil((n + partner) * (self.least / (1 + self.least)) - 1e-9).astype(np.int64), 1)
+        keys, texts = [], []
+
+        def give(key: np.ndarray, text: np.ndarray) -> None:
+            if self.parts > 1:
+                mine = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(self.parts) == self.part
+                key, text = key[mine], text[mine]
+            keys.append(key)
+            texts.append(text)
+
+        def grow(text: np.ndarray, place: np.ndarray, key: np.ndarray | None, k: int) -> None:
+            """The tuples of k words that extend those of k - 1 words whose last one stands at `place`."""
+            most = np.maximum(np.minimum(n[text] - common[text] + k, n[text]) - place - 1, 0)
+            if (total := int(most.sum())) > MADE and len(text) > 1:
+                half = len(text) // 2
+                for cut in (slice(None, half), slice(half, None)):
+                    grow(text[cut], place[cut], None if key is None else key[cut], k)
+                return
+            of = np.repeat(np.arange(len(text)), most)
+            text, place = text[of], place[of] + 1 + np.arange(total) - np.repeat(np.cumsum(most) - most, most)
+            word = bags[starts[text] + place]
+            key = word if key is None else longer_key(key[of], word)
+            if k <= len(self.hot):
+                hot = self.hot[k - 1]
+                among = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                if not self.last:
+                    give(key[~among], text[~among])
+                    ends = among & (common[text] <= k)
+                    give(longer_key(key[ends], np.uint64(k)), text[ends])
+                if among.any():
+                    grow(text[among], place[among], key[among], k + 1)
+            else:
+                give(key, text)
+
+        grow(np.arange(len(n)), np.full(len(n), -1), None, 1)
+        key, text = np.concatenate(keys) if keys else bags[:0], np.concatenate(texts) if texts else starts[:0]
+        return key[np.argsort(text, kind="stable")].view(np.int64), np.bincount(text, minlength=len(n))
+
+    def at(self, reps: DataFrame) -> DataFrame:
+        """(rep, words, f0, f1, anchor): the fingerprints at their keys."""
+
+        @F.arrow_udf("array<bigint>")
+        def run(bags: pa.Array) -> pa.Array:
+            return joined_lists(*self.of(*cut_lists(bags)))
+
+        return reps.select("rep", "words", "f0", "f1", F.explode(run("bag")).alias("anchor"))
+
+
+def longer_key(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + word
+
+
+def hot_keys(reps: DataFrame, least: float) -> tuple[np.ndarray, ...]:
+    """By number of words the keys of more than HOT_ANCHOR classes, by the estimate of a sample; HOT_ANCHOR bounds their
+    number by a small part of the keys."""
+    some, hot = reps.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0), ()
+    while len(hot) < DEPTH:
+        counts = Keys(least, hot, last=True).at(some).groupBy("anchor").agg(F.count("*").alias("n"))
+        found = np.array([r["anchor"] for r in counts.where(F.col("n") * SAMPLE > HOT_ANCHOR).select("anchor").collect()], np.int64)
+        if not len(found):
+            break
+        hot += (np.sort(found.view(np.uint64)),)
+    return hot
 
 
-def split_hot(at: DataFrame, hot: list[int], frequent: list[int], least: float) -> DataFrame:
-    """(rep, words, f0, f1, anchor, at) with each hot anchor split by words: a text of n words and any alike text share
-    least * n words or more, so of the first n - ceil(least * n) + 1 words in any fixed order (rare words first) they
-    share one. No pair is lost."""
-    keep = ["rep", "words", "f0", "f1", "anchor", "at"]
-    if not hot:
-        return at.select(*keep)
-    spark = at.sparkSession
-    marked = at.join(F.broadcast(spark.createDataFrame([(h, True) for h in hot], "anchor bigint, hot boolean")), "anchor", "left")
-    places = spark.createDataFrame([(w, i) for i, w in enumerate(frequent)] or [(0, 0)], "w bigint, place int")
-    some = marked.where("hot").select(*keep, F.explode(numbered("tokens")).alias("w")).join(F.broadcast(places), "w", "left")
-    # a group is one text at one anchor; rare words have no place, the most frequent one comes last
-    order = F.struct(F.coalesce(F.lit(HOT_WORDS) - F.col("place"), F.lit(0)).alias("r"), "w")
-    ranked = some.groupBy(*keep).agg(F.array_sort(F.collect_list(order)).alias("ws"))
-    first = F.expr(f"slice(ws, 1, words - cast(ceil({least} * words - 1e-9) AS int) + 1)")
-    split = ranked.select("rep", "words", "f0", "f1", F.explode(F.transform(first, lambda x: F.xxhash64("anchor", x["w"]))).alias("anchor"), "at")
-    return marked.where("hot IS NULL").select(*keep).unionByName(split)
+def met(left: DataFrame, right: DataFrame, lkeys: Keys, rkeys: Keys, condition: Column) -> DataFrame:
+    """Pairs (a, b) of classes whose fingerprints at a key meet the condition on l and r; staged, one pass after another."""
+    parts = max(1, min(PASSES, left.count() // PASS_CLASSES))
+    passes = []
+    for part in range(parts):
+        l, r = (replace(keys, part=part, parts=parts).at(reps).alias(side) for keys, reps, side in ((lkeys, left, "l"), (rkeys, right, "r")))
+        pairs = l.join(r, (F.col("l.anchor") == F.col("r.anchor")) & condition).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
+        passes.append(stage(pairs.distinct(), "met"))
+    return reduce(DataFrame.unionByName, passes).distinct()
 
 
 def near(a: str, b: str, least: float) -> Column:
     """Exact necessary condition on lengths and fingerprints for a likeness of at least `least`."""
-    bits = F.expr(f"bit_count({a}.f0 ^ {b}.f0) + bit_count({a}.f1 ^ {b}.f1)")
-    total = F.expr(f"{a}.words + {b}.words")
-    lengths = F.expr(f"least({a}.words, {b}.words) >= {least} * greatest({a}.words, {b}.words) - 1e-9")
-    return lengths & (bits <= total * ((1 - least) / (1 + least)) + 1e-9)
+    # doubles throughout, since decimals cost many times the rest; fingerprints first, as they tell most pairs apart
+    bits = f"bit_count({a}.f0 ^ {b}.f0) + bit_count({a}.f1 ^ {b}.f1) <= ({a}.words + {b}.words) * {(1 - least) / (1 + least)!r}D + 1e-9D"
+    return F.expr(f"{bits} AND least({a}.words, {b}.words) >= {least!r}D * greatest({a}.words, {b}.words) - 1e-9D")
 
 
 def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -196,39 +271,23 @@ def banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.nda
     return out
 
 
-def turned(a: str, b: str, turn: str, least: float) -> Column:
-    """Does b, its words rotated by `turn` places, become a within the edits that likeness allows (and SLACK)?"""
-
-    @F.pandas_udf("boolean")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y, s in parts:
-            xs, ys = list(x), [np.roll(t, k) if k else t for t, k in zip(y, s)]
-            total = np.array([len(p) + len(q) for p, q in zip(xs, ys)], np.int64)
-            yield pd.Series(banded(xs, ys, np.floor(total * ((1 - least) / (1 + least) * (1 + SLACK)) + 1e-9).astype(np.int64)))
-
-    return run(a, b, turn)
-
-
 def members(rows: DataFrame, reps: DataFrame, ends: DataFrame) -> DataFrame:
     """(rep, id): the rows of the classes whose representative is in ends(rep)."""
     named = reps.select("rep", *CLASS).join(ends.distinct(), "rep")
     return rows.select("id", *CLASS).join(named, list(CLASS)).select("rep", "id").distinct()
 
 
-def alike_within(df: DataFrame, id_col: str, text: Column, least: float = LIKENESS, runs: tuple[tuple[int, int], ...] = WITHIN) -> Alike:
-    """Pairs of classes of one table that are alike and not the same text, a < b.
+def alike_within(df: DataFrame, id_col: str, text: Column, least: float = LIKENESS) -> Alike:
+    """Pairs of classes of one table that are alike and not the same text.
 
     Texts that differ only in formatting (see copies) are no pairs. Null and wordless texts match nothing. Two texts of
     one class of words but different roots (a form and a sentence) are classes of their own."""
     rows = stage(sketch(df, id_col, text, copy_root=True), "rows")
-    reps = stage(classes(rows).withColumn("bag", numbered("tokens")), "classes")
-    at = anchors(reps, runs, least, 1.0)
-    hot = hot_anchors(at)
-    at = split_hot(at, hot, frequent_words(reps) if hot else [], least).drop("at").distinct() if hot else at.select("rep", "words", "f0", "f1", "anchor")
-    pairs = (
-        at.alias("l").join(at.alias("r"), (F.col("l.anchor") == F.col("r.anchor")) & (F.col("l.rep") < F.col("r.rep")) & near("l", "r", least))
-        .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    )
+    reps = stage(classes(rows, frequent_words(rows)), "classes")
+    hot = hot_keys(reps, least)
+    # the left side has the shorter text of a pair
+    size = F.expr("l.words < r.words OR (l.words = r.words AND l.rep < r.rep)")
+    pairs = met(reps, reps, Keys(least, hot, longer=True), Keys(least, hot), near("l", "r", least) & size)
     roots = reps.select("rep", "root")
     alike = (
         verified(pairs, reps, reps, least)
@@ -240,44 +299,18 @@ def alike_within(df: DataFrame, id_col: str, text: Column, least: float = LIKENE
     return Alike(heads, of, of)
 
 
-def alike_across(left: DataFrame, left_id: str, left_text: Column, right: DataFrame, right_id: str, right_texts: list[Column], least: float = LIKENESS, runs: tuple[tuple[int, int], ...] = ACROSS) -> Alike:
-    """Pairs of a class of the left table and a class of any of the texts of the right one that are alike, by an
-    edit-distance segment join.
-
-    A right (evaluation) text of n words allows k = n / run - 1 altered places and is cut into k + 1 segments of a run
-    (the last one ends with the text); one of them is whole then, and stands among the runs that the left (training)
-    texts offer at all places. A segment may stand off its place by the edits that likeness allows; from half of them on
-    the evaluation text is also taken to begin at another place and is rotated by the difference, because likeness
-    ignores order. Candidates are verified by banded dynamic programming and then by their likeness."""
+def alike_across(left: DataFrame, left_id: str, left_text: Column, right: DataFrame, right_id: str, right_texts: list[Column], least: float = LIKENESS) -> Alike:
+    """Pairs of a class of the left table and a class of any of the texts of the right one that are alike."""
     lrows = stage(sketch(left, left_id, left_text), "left")
     both = None
     for text in right_texts:
         one = sketch(right, right_id, text)
         both = one if both is None else both.unionByName(one)
     rrows = stage(both, "right")
-    lreps, rreps = stage(classes(lrows), "left_classes"), stage(classes(rrows), "right_classes")
-    la, ra = anchors(lreps, runs, least, 1 / least), anchors(rreps, runs, least, 1 / least, cut=True)
-    hot = hot_anchors(la)
-    frequent = frequent_words(lreps) if hot else []
-    la, ra = split_hot(la, hot, frequent, least), split_hot(ra, hot, frequent, least)
-    off = F.col("l.at") - F.col("r.at")
-    edits = (F.col("l.words") + F.col("r.words")) * ((1 - least) / (1 + least)) + 1e-9
-    none = F.array().cast("array<int>")
-    turns = F.concat(F.when(F.abs(off) <= edits, F.array(F.lit(0))).otherwise(none), F.when(F.abs(off) * 2 > edits, F.array(F.pmod(off, F.col("r.words")))).otherwise(none))
-    pairs = (
-        la.alias("l").join(ra.alias("r"), (F.col("l.anchor") == F.col("r.anchor")) & near("l", "r", least))
-        .select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"), F.explode(turns).alias("turn")).distinct()
-    )
-    within = (
-        pairs.join(lreps.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(rreps.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
-        .where(turned("ta", "tb", "turn", least)).select("a", "b", "ta", "tb")
-    )
-    scored = within.select("a", "b", (F.size("ta") + F.size("tb")).alias("total"), F.size(F.array_intersect(numbered("ta"), numbered("tb"))).alias("common"))
-    alike = (
-        scored.where(F.col("common") * (1 + least) >= F.col("total") * least - 1e-9)
-        .select("a", "b", (F.col("common") / (F.col("total") - F.col("common"))).alias("likeness")).distinct()
-    )
-    heads = stage(alike, "alike")
+    order = frequent_words(lrows)
+    lreps, rreps = stage(classes(lrows, order), "left_classes"), stage(classes(rrows, order), "right_classes")
+    keys = Keys(least, hot_keys(lreps, least))
+    heads = stage(verified(met(lreps, rreps, keys, keys, near("l", "r", least)), lreps, rreps, least), "alike")
     return Alike(heads, members(lrows, lreps, heads.select(F.col("a").alias("rep"))), members(rrows, rreps, heads.select(F.col("b").alias("rep"))))
 
 

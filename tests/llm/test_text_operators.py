@@ -106,6 +106,44 @@ def test_hot_anchors_lose_no_pair(spark, monkeypatch):
     assert within(df) == plain and plain
 
 
+def spoiled(n, step):
+    """Two texts of n words, alike in all but every step-th of them."""
+    text = [f"w{n}x{i}" for i in range(n)]
+    return [" ".join(text), " ".join(f"v{w}" if i % step == step - 1 else w for i, w in enumerate(text))]
+
+
+def test_alike_within_without_a_shared_run(spark):
+    # likeness 0.6 and more, but no six words in a row
+    rows = [t for n in (4, 12, 24, 40, 160) for t in spoiled(n, 4)] + [" ".join(spoiled(30, 9)[0].split()[::-1]), spoiled(30, 9)[1]]
+    df = spark.createDataFrame(list(enumerate(rows)), "row_id bigint, text string")
+    assert within(df) == {(i, i + 1) for i in range(0, len(rows), 2)}
+
+
+def test_keys_are_complete():
+    r = random.Random(12)
+    bags = []
+    for _ in range(150):
+        bag = r.sample(range(40), r.choice([1, 2, 3, 5, 9, 16, 24]))
+        bags += [sorted(bag), sorted(set(bag) - set(bag[: len(bag) // 5]) | set(r.sample(range(40), len(bag) // 6)))]
+    flat, n = np.array([w for b in bags for w in b], np.int64), np.array([len(b) for b in bags])
+
+    def given(keys):
+        found, number = keys.of(flat, n)
+        return [set(x.tolist()) for x in np.split(found, np.cumsum(number)[:-1])]
+
+    hot = ()
+    for _ in range(4):
+        counts = Counter(k for x in given(likeness.Keys(0.6, hot, last=True)) for k in x)
+        hot += (np.sort(np.array([k for k, many in counts.items() if many > 8], np.int64).view(np.uint64)),)
+    assert all(len(h) for h in hot)
+    short, long = ([given(likeness.Keys(0.6, hot, longer, part=p, parts=3)) for p in range(3)] for longer in (True, False))
+    for i, j in itertools.combinations(range(len(bags)), 2):
+        a, b = sorted((i, j), key=lambda k: len(bags[k]))
+        common = len(set(bags[a]) & set(bags[b]))
+        if 1.6 * common >= 0.6 * (len(bags[a]) + len(bags[b])) - 1e-9:
+            assert any(s[a] & w[b] for s, w in zip(short, long)) and any(w[a] & w[b] for w in long)
+
+
 def test_same_words_as_form_and_sentence(spark):
     df = spark.createDataFrame([(1, "a: b; c: d"), (2, "c = d; a = b"), (3, "a b c d"), (4, "A, b c d!")], "row_id bigint, text string")
     assert within(df) == {(1, 3), (1, 4), (2, 3), (2, 4)}
