@@ -194,6 +194,17 @@ def test_alike_across_rotated(spark):
     assert {(k, k) for k in range(30)} <= got
 
 
+def test_alike_across_without_a_shared_segment(spark):
+    # every fourth word altered, and words in another order
+    pairs = [spoiled(n, 4) for n in (4, 12, 24, 40, 160)] + [[t, " ".join(t.split()[::-1])] for t in spoiled(33, 9)[:1]]
+    left, right = (spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "id bigint, t string") for k in range(2))
+
+    def found():
+        return {(x.left_key, x.right_key) for x in likeness.alike_across(left, "id", F.col("t"), right, "id", [F.col("t")]).rows().collect()}
+
+    assert found() == {(k, k) for k in range(len(pairs))}
+
+
 def test_fingerprints_lose_no_pair(spark):
     rows = [t for t in near_rows(9) if t]
     s = likeness.sketch(spark.createDataFrame(list(enumerate(rows)), "id bigint, text string"), "id", F.col("text")).select(F.col("id").alias("rep"), "words", "f0", "f1")
