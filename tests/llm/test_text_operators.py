@@ -205,6 +205,28 @@ def test_alike_across_without_a_shared_segment(spark):
     assert found() == {(k, k) for k in range(len(pairs))}
 
 
+def test_overlaps_of_odd_letters_and_repeated_ids(spark, tmp_path):
+    # one word with a capital İ, sigmas at the ends of words, letters of Unicode 14 and 15, an id that arrives in two splits
+    duckdb = pytest.importorskip("duckdb")
+    texts = [
+        ("İstanbul İzmir hai", "istanbul, İZMİR hai"), ("ΟΔΟΣ ΣΑΣ", "οδοσ σασ"), ("\U00010570\U00010571 \U0001057a", "\U00010597\U00010598-\U000105a1"),
+        ("\u0870\u0871 ba \U00031350", "Ba \U00031350 \u0870\u0871"), ("\u0870 bốn năm", "\u0871 sáu bảy"), ("tám \x00chín_mười", "Tám/chín\u200bmười"),
+    ]
+    spark.createDataFrame([(i, a) for i, (a, _) in enumerate(texts)], "row_id bigint, corrected string").write.parquet(f"{tmp_path}/training_data.parquet")
+    rows = [(i, b, None, "test", "x") for i, (_, b) in enumerate(texts)] + [(0, texts[0][1], None, "valid", "x")]
+    spark.createDataFrame(rows, "eval_id bigint, correction_target string, error_sentence string, split string, source string").write.parquet(f"{tmp_path}/evaluation_data.parquet")
+    c = duckdb.connect()
+    for name in ("training_data", "evaluation_data"):
+        c.sql(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("p3_found", "p3_report"):
+        got = getattr(queries, name)(spark, str(tmp_path))
+        want = c.sql(f"SELECT {', '.join(got.columns)} FROM ({text_oracles.oracles()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    # ΟΔΟΣ in lower case ends in ς
+    left, right = (spark.createDataFrame([(1, t)], "id bigint, t string") for t in ("ΟΔΟΣ", "οδος"))
+    assert likeness.alike_across(left, "id", F.col("t"), right, "id", [F.col("t")]).rows().count() == 1
+
+
 def test_fingerprints_lose_no_pair(spark):
     rows = [t for t in near_rows(9) if t]
     s = likeness.sketch(spark.createDataFrame(list(enumerate(rows)), "id bigint, text string"), "id", F.col("text")).select(F.col("id").alias("rep"), "words", "f0", "f1")
